@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import neighbours, splitting
+from tesserae.llm import leaks, mixing, neighbours, secrets, splitting
 from tesserae.plans.runtime import table
 
 
@@ -32,7 +32,55 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("chunk_a"), F.greatest("id", "neighbour").alias("chunk_b")).distinct()
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credentials in files, by line, and in paths of the change feed."""
+    files = secrets.scan(table(spark, sf_dir, "files"), "file_id", "text")
+    changes = secrets.scan(table(spark, sf_dir, "changes"), "change_id", "path", paths=True)
+    in_files = files.select(F.lit("files").alias("origin"), F.col("id").alias("record_id"), "line_no")
+    in_paths = changes.select(F.lit("changes").alias("origin"), F.col("id").alias("record_id"), F.lit(0).alias("line_no"))
+    return in_files.unionByName(in_paths).distinct()
+
+
+def p6_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with their credentials masked."""
+    return secrets.masked(table(spark, sf_dir, "files").select("file_id", "repo", "name", "text"), "text")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of evaluation items."""
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked items with the number of documents and the longest passage."""
+    found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max("n_words").alias("longest"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that cannot reach their target share."""
+    weights = mixing.plan(mixing.sized(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
+    return weights.filter("not reachable").select("source").distinct()
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached shares of the mix."""
+    return mixing.mixed_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed records."""
+    return mixing.mixed_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
 QUERIES = {
+    "p7_found": p7_found,
+    "p7_items": p7_items,
+    "p8_found": p8_found,
+    "p8_report": p8_report,
+    "p8_mix": p8_mix,
+    "p6_found": p6_found,
+    "p6_masked": p6_masked,
     "p3_pieces": p3_pieces,
     "p3_found": p3_found,
     "p5_neighbours": p5_neighbours,
