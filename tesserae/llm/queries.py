@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tesserae.llm import leaks, mixing, neighbours, secrets, splitting
+from tesserae.llm import leaks, mixing, neighbours, secrets, splitting, subjects
 from tesserae.plans.runtime import table
 
 
@@ -73,7 +74,25 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
 
 
+def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.areas(*(table(spark, sf_dir, name) for name in ("documents", "subjects", "subject_labels")))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one or two subjects of each notebook."""
+    return _areas(spark, sf_dir).select("doc_id", "subject").distinct()
+
+
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and characters by subject; a document of two subjects counts half for each."""
+    share = _areas(spark, sf_dir).withColumn("share", 1 / F.count(F.lit(1)).over(Window.partitionBy("doc_id")))
+    sizes = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("chars"))
+    return share.join(sizes, "doc_id").groupBy("subject").agg(F.round(F.sum("share"), 3).alias("documents"), F.round(F.sum(F.col("share") * F.col("chars")), 1).alias("chars"))
+
+
 QUERIES = {
+    "p9_found": p9_found,
+    "p9_composition": p9_composition,
     "p7_found": p7_found,
     "p7_items": p7_items,
     "p8_found": p8_found,
