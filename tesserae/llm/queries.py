@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesserae.llm import leaks, mixing, neighbours, secrets, splitting, subjects
+from tesserae.llm import leaks, mixing, neighbours, provenance, secrets, splitting, subjects
 from tesserae.plans.runtime import table
 
 
@@ -90,7 +90,19 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share.join(sizes, "doc_id").groupBy("subject").agg(F.round(F.sum("share"), 3).alias("documents"), F.round(F.sum(F.col("share") * F.col("chars")), 1).alias("chars"))
 
 
+def p4_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that nobody wrote by hand, with the kind found."""
+    return provenance.classify(table(spark, sf_dir, "files")).select(F.col("id").alias("file_id"), "kind", "score")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that nobody wrote by hand."""
+    return p4_kinds(spark, sf_dir).select("file_id").distinct()
+
+
 QUERIES = {
+    "p4_kinds": p4_kinds,
+    "p4_found": p4_found,
     "p9_found": p9_found,
     "p9_composition": p9_composition,
     "p7_found": p7_found,
