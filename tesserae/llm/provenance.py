@@ -34,7 +34,7 @@ DOUBT = -0.5
 #: From this score on, by a fit on other repositories, it is an example of the kind.
 SURE = 0.1
 #: Files from this score on are cases: files without a giveaway lie nearer to the border.
-ACCEPT = -0.25
+ACCEPT = -0.4
 
 #: Extensions of code; configuration and documentation are never cases.
 CODE = {"py", "pyi", "js", "mjs", "cjs", "jsx", "ts", "tsx", "mts", "go", "java", "rs", "c", "h", "cc", "cpp", "cxx", "hpp", "hh", "hxx", "kt", "scala", "rb", "php", "swift", "cs", "m", "mm", "css", "scss", "lua", "pl", "r"}

@@ -9,6 +9,7 @@ it says that it is a checksum, an id, an image or public. Redaction keeps every
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -63,7 +64,7 @@ _KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?--
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]{1,20}:/{1,2}(?P<user>[^\s:/@'\"<>]{0,80}):(?P<value>[^\s/@'\"<>]{3,200})@[\w.\-\[{$]")
 _HEADER = re.compile(r"(?i)(?:authorization|auth|x-[\w\-]*(?:auth|token|key|secret)[\w\-]*)['\"]?\s{0,3}[:=,]\s{0,3}(?:\w{0,6}['\"])?\s*(?:(?:bearer|basic|token|digest|apikey|key)\s+)?(?P<value>[^\s'\"`,;)]{6,400})")
 _ASSIGN = re.compile(
-    r"(?P<name>[A-Za-z_$][\w.\-$]*)(?P<mid>['\"`]?\]?(?:[ \t]*:[ \t]*[\w&'<>\[\]?* \t.]{1,40}?(?==))?[ \t]{0,8}(?::=|=>|==?|:|<-)(?:[ \t]{0,8}|\s{1,40}(?=[\"'`]))(?:[rbufRBL@$]{0,2}|String\(|new String\(|std::string\(|&)?)(?P<open>[(\[]\s{0,40}(?=[\"'`]))?"
+    r"(?<![\w.\-$])(?P<name>[A-Za-z_$][\w.\-$]*+)(?P<mid>['\"`]?\]?(?:[ \t]*:[ \t]*[\w&'<>\[\]?* \t.]{1,40}?(?==))?[ \t]{0,8}(?::=|=>|==?|:|<-)(?:[ \t]{0,8}|\s{1,40}(?=[\"'`]))(?:[rbufRBL@$]{0,2}|String\(|new String\(|std::string\(|&)?)(?P<open>[(\[]\s{0,40}(?=[\"'`]))?"
     r"(?:(?P<q>\"\"\"|'''|[\"'`])(?P<quoted>(?:(?!(?P=q))[^\\\r\n]|\\.){3,600}?)(?P=q)|(?P<bare>[^\s'\"`,;(){}\[\]<>]{4,600}))"
 )
 _NEXT_LITERAL = re.compile(r"\s{0,40}(?:\+|\.\.?|\\|,)?\s{0,40}(?P<q>[\"'`])(?P<value>[^\"'`\r\n]{1,300})(?P=q)")
@@ -74,22 +75,26 @@ _REMARK = re.compile(
     r"(?i)\b(?:pass(?:word|wd|phrase|code)?|pw|pwd|secret|token|credentials?|creds?|log[- ]?in|sign[- ]?in|(?:api |old |new |signing |access |master |private )?key|rotation|pin)\b[ :,](?P<rest>[^\n\r'\"`=(]{6,160})"
 )
 _REMARK_VALUE = re.compile(r"(?<![^\s/:,(<])[^\s,;()<>\[\]/]{8,300}")
-_NAME_REMARK = re.compile(r"(?i)(?:pass(?:word|wd|phrase|code)?|pw|pwd|secret|token|credential|api[_\-]?key)[_\- ](?:is|was)[_\- ](?P<value>[^\s/?&]{4,200})")
-_CALL = re.compile(r"(?P<name>[A-Za-z_][\w.:]*)\s?\((?P<args>[^()]{4,600})\)")
+_NAME_REMARK = re.compile(r"(?i)(?:pass(?:word|wd|phrase|code)?|pw|pwd|secret|token|credential|api[_\-]?key)[_\-](?:is|was)[_\-](?P<value>[^\s/?&]{4,200})")
+_CALL = re.compile(r"(?<![\w.:])(?P<name>[A-Za-z_][\w.:]*+)\s?\((?P<args>[^()]{4,600})\)")
 _CALL_NAMES = re.compile(r"(?i)(?:^|[._:])\w*?(?:connect|log_?in|sign(?:_?with|_?in)?|auth\w*|open_?pool|set_?header|password|credential|token|unlock|decrypt|session|pool|api_?key|set_?secret)\w*$")
 _ARGUMENT = re.compile(r"(?P<q>[\"'`])(?P<value>(?:(?!(?P=q))[^\\\r\n]|\\.){1,400})(?P=q)")
 _LITERAL_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_\-.])(?P<value>[A-Za-z0-9_][A-Za-z0-9_\-.+/]{%d,600}=*)" % (LONG - 1))
 _PROGRESS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*|\d+")
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def names_secret(name: str) -> bool:
+    """Whether a name says that its value is a credential, not something about one."""
+    return _names_secret(words_of(name))
+
+
 def words_of(name: str) -> list[str]:
     """Lower-case words of an identifier: ``apiToken``, ``api_token`` and ``API-TOKEN`` alike."""
     return [w.lower() for w in _PROGRESS.findall(name)]
 
 
-def names_secret(name: str) -> bool:
-    """Whether a name says that its value is a credential, not something about one."""
-    words = words_of(name)
+def _names_secret(words: list[str]) -> bool:
     if not words:
         return False
     hit = [i for i, w in enumerate(words) if w in _SECRET_WORDS or (w in ("key", "keys") and i and words[i - 1] in _KEY_QUALIFIERS) or (w == "code" and i and words[i - 1] == "pin") or (w == "salt" and i)]
@@ -189,7 +194,8 @@ def find_secrets(text: str) -> list[Finding]:
         value = m["value"]
         if not _PLACEHOLDER.search(value) and not value.startswith(("$", "%", "{", "<")) and not _REFERENCE.fullmatch(value) and value.lower() not in ("password", "pass", "passwd", "secret", "token", "pw", "user", "pwd") and len(set(value)) > 2:
             add(*m.span("value"), "url")
-    for pattern, kind in ((_HEADER, "header"), (_BASIC, "command"), (_NAME_REMARK, "remark")):
+    named = any(mark in text for mark in ("_is_", "-is-", "_was_", "-was-"))
+    for pattern, kind in ((_HEADER, "header"), (_BASIC, "command"), *([(_NAME_REMARK, "remark")] if named else [])):
         for m in pattern.finditer(text):
             value = m["value"].rstrip(".") if kind != "remark" else re.sub(r"\.(?:md|txt|rst|json|ya?ml|log|csv|py|js)$", "", m["value"])
             if plausible(value) and not _REFERENCE.fullmatch(value):
