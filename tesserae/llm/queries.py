@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesserae.llm import leaks, mixing, neighbours, provenance, secrets, splitting, subjects
+from tesserae.llm import leaks, mixing, neighbours, provenance, secrets, splitting, subjects, syntax
 from tesserae.plans.runtime import table
 
 
@@ -100,7 +100,23 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_kinds(spark, sf_dir).select("file_id").distinct()
 
 
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of files that do not parse, by repository and language; the latest delivery of each file counts."""
+    files = table(spark, sf_dir, "files")
+    checked = syntax.check(files).dropDuplicates(["id"])
+    repos = files.select(F.col("file_id").alias("id"), "repo").distinct()
+    rates = checked.join(repos, "id").groupBy("repo", F.col("extension").alias("language"))
+    return rates.agg(F.count(F.lit(1)).alias("files"), F.count_if(~F.col("valid")).alias("invalid")).withColumn("rate", F.round(F.col("invalid") / F.col("files"), 6))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that do not parse."""
+    return syntax.check(table(spark, sf_dir, "files")).filter("not valid").select(F.col("id").alias("file_id")).distinct()
+
+
 QUERIES = {
+    "p1_rates": p1_rates,
+    "p1_found": p1_found,
     "p4_kinds": p4_kinds,
     "p4_found": p4_found,
     "p9_found": p9_found,
