@@ -8,7 +8,8 @@ holds both brackets of a pair.
 
 Grammar text: ``Name : alternative | alternative`` with ``?``, ``*``, ``+`` and parentheses; literals in
 quotes, token classes in capitals, ``(:Name:)``, ``[:Name:]``, ``{:Name:}`` for a bracket pair with such a
-content, ``@dialect,dialect`` before an alternative of some dialects only. ``Name :: Item`` is a list of
+content, ``@dialect,dialect`` before an alternative of some dialects only, ``^`` before one that does not begin
+with braces. ``Name :: Item`` is a list of
 items whose statements may be recognised one by one.
 """
 
@@ -21,7 +22,7 @@ END = "\x03"
 #: Entries of a memo after which it is dropped.
 MEMO = 200_000
 
-_TOKEN = re.compile(r"'(?:[^'\\]|\\.)*'|[({\[<]:\s*\w+\s*:[)}\]>]|@[\w,]+|\w+|[|?*+()]")
+_TOKEN = re.compile(r"'(?:[^'\\]|\\.)*'|[({\[<]:\s*\w+\s*:[)}\]>]|@[\w,]+|\w+|[|?*+()^]")
 _REPEAT = re.compile(r"(..)\1{2,}", re.S)
 
 
@@ -47,6 +48,7 @@ class Grammar:
         self.names: dict[str, int] = {}
         self.alternatives: list[tuple] = []
         self.masks: list[int] = []
+        self.bare: set[int] = set()
         self.rules: list[list[int]] = []
         self.contents: dict[str, list[int]] = {}
         self.lists: dict[int, int] = {}
@@ -97,6 +99,8 @@ class Grammar:
                 if token != "|":
                     return at
                 items, mask = [], self.all
+            elif token == "^":
+                self.bare.add(len(self.alternatives))
             elif token[0] == "@":
                 mask = sum(self.dialects[d] for d in token[1:].split(","))
             elif token in "?*+":
@@ -177,7 +181,7 @@ class Grammar:
             table: dict = {}
             nullable = tuple(a for a in alts if of(self.alternatives[a])[1])
             for a in alts:
-                for c in of(self.alternatives[a])[0]:
+                for c in of(self.alternatives[a])[0] - ({"{"} if a in self.bare else set()):
                     table.setdefault(c, set()).add(a)
             self.predicted.append({c: tuple(sorted({*s, *nullable})) for c, s in table.items()})
             self.always.append(nullable)

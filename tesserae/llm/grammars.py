@@ -237,7 +237,7 @@ Arguments : (Expr (',' Expr)*)?
 JAVASCRIPT = """
 File :: Statement
 Block :: Statement
-Statement : {:Block:} | Variables Stop | Function | Class | ';' | END | Expr Stop | If | For | 'while' (:Expr:) Statement | 'do' Statement 'while' (:Expr:) Stop?
+Statement : {:Block:} | Variables Stop | Function | Class | ';' | END | ^ Expr Stop | If | For | 'while' (:Expr:) Statement | 'do' Statement 'while' (:Expr:) Stop?
  | 'return' Expr? Stop | 'break' ID? Stop | 'continue' ID? Stop | 'throw' Expr Stop | Try | Switch | ID ':' Statement | 'import' ImportClause Stop | Export | 'debugger' Stop | 'with' (:Expr:) Statement
  | @ts Declaration | DECORATOR ';'? Statement | HASHBANG
 Stop : ';' | END
@@ -759,6 +759,8 @@ def c_languages() -> dict[str, Language]:
     c["auto"] = char("SPECIFIER")
     directive = re.compile(r"^[ \t]*(?:#|%:)(?:[^\r\n\\/]|\\\r?\n|\\.|/(?!\*)|/\*(?:[^*]|\*(?!/))*+\*/)*", re.M)
 
+    directives = frozenset(_words("define undef include include_next import if ifdef ifndef elif elifdef elifndef else endif error warning pragma line ident sccs assert unassert embed region endregion"))
+
     def prepare(text: str) -> str:
         """Without directives; of alternative branches the first, but for ``#if 0``."""
         if "#" not in text:
@@ -772,6 +774,8 @@ def c_languages() -> dict[str, Language]:
                 out.append(text[at : m.start()])
             word = re.match(r"[ \t]*(?:#|%:)[ \t]*(\w*)[ \t]*(.*)", m[0])
             name = word[1] if word else ""
+            if name and name not in directives and not name.isdigit():
+                return "\0"
             if name in ("if", "ifdef", "ifndef"):
                 hidden.append(word[2].strip() == "0")
             elif name in ("else", "elif", "elifdef", "elifndef"):
@@ -884,7 +888,7 @@ def script_languages() -> dict[str, Language]:
         rf"|(?P<p>\#[^\W\d][\w$]*)|(?P<d>@[^\W\d][\w$]*(?:\.[\w$]+)*)|(?P<i>(?:[^\W\d]|\$)(?:\w|\$)*)|(?P<t>`)"
     )
     pattern = re.compile(body + rf"|(?P<o>{_operators(literal)})|(?P<e>.)", re.S)
-    regex = re.compile(r"/(?![*/])(?:[^/\\\[\r\n]|\\[^\r\n]|\[(?:[^\]\\\r\n]|\\[^\r\n])*\])+/[A-Za-z]*")
+    regex = re.compile(r"/(?![*/])(?:[^/\\\[\r\n]|\\[^\r\n]|\[(?:[^\]\\\r\n]|\\[^\r\n])*\])+/[dgimsuvy]*(?![\w$])")
     identifier, string, number, template, regular, decorator, stop = (char(t) for t in ("ID", "STR", "NUM", "TEMPLATE", "REGEX", "DECORATOR", ";"))
     private, hashbang, divide = char("PRIVATE"), char("HASHBANG"), literal["/"]
     # Behind these, a slash divides and a line break may end a statement.
