@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesserae.llm import leaks, mixing, neighbours, provenance, secrets, splitting, subjects, syntax
+from tesserae.llm import docpairs, leaks, mixing, neighbours, provenance, secrets, splitting, subjects, syntax
 from tesserae.plans.runtime import table
 
 
@@ -114,7 +114,22 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.check(table(spark, sf_dir, "files")).filter("not valid").select(F.col("id").alias("file_id")).distinct()
 
 
+def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions with their documentation, and the chunk that holds the definition."""
+    pairs = docpairs.extract(table(spark, sf_dir, "files")).distinct()
+    chunks = table(spark, sf_dir, "chunks").select("chunk_id", F.col("file_id").alias("id"), F.col("metadata.start_line").alias("a"), F.col("metadata.end_line").alias("b")).distinct()
+    placed = pairs.join(chunks, (pairs["id"] == chunks["id"]) & pairs["def_line"].between(chunks["a"], chunks["b"]), "left")
+    return placed.select(pairs["id"].alias("file_id"), "chunk_id", "name", "def_line", "code", "doc")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documented functions by file and line."""
+    return docpairs.extract(table(spark, sf_dir, "files")).select(F.col("id").alias("file_id"), "def_line").distinct()
+
+
 QUERIES = {
+    "p2_pairs": p2_pairs,
+    "p2_found": p2_found,
     "p1_rates": p1_rates,
     "p1_found": p1_found,
     "p4_kinds": p4_kinds,
