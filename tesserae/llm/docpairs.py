@@ -349,7 +349,10 @@ _TAG = re.compile(r"(?m)[@\\](?:param|arg|argument|property|prop|tparam|template
 _SECTION = re.compile(r"(?im)^\s*(?:args?|arguments?|param(?:eter)?s?|returns?|raises?|yields?|throws?|exceptions?|examples?|notes?|see also|panics?|errors?|safety|attributes|keyword args|usage|warnings?|deprecated|todo|since|author|version)\s*:?\s*$|^\s*-{3,}\s*$|^\s*#+\s*(?:arguments|returns|panics|errors|safety|examples?)\s*$")
 _ITEM = re.compile(r"(?m)^\s*(?:[-*]\s+)?[`*]*([A-Za-z_]\w*)[`*]*\s*(?:\([^)\n]*\))?\s*(?::|--?)\s")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[A-Za-z_]\w*")
-_CODE_LINE = re.compile(r"[;{}]\s*$|^\s*(?:return\b.*|\w+(?:\.\w+)*\s*[-+*/|&]?=[^=].*|\w+(?:\.\w+)*\(.*\);?|(?:if|for|while)\b.*[:{)]|(?:def|class|fn|func|function|const|let|var|import|from|#include)\b.*|\}.*|[)\]]+[;,]?)\s*$")
+_CODE_LINE = re.compile(
+    r"[;{}]\s*$|^\s*(?:return\b(?:\s+[\w.]+)?\s*(?:[-+*/%(\[;].*)?|\w+(?:\.\w+)*\s*(?::\w+)?\s*(?:[-+*/|&:]|<<|>>)?=[^=].*|\w+(?:\.\w+)*\([^)]*\);?|(?:if|while|elif)\b.*(?:[=!<>]=|[<>(]|\bnot\b).*[:{)]|for\b.*(?:\bin\b.*:|;.*)"
+    r"|(?:def|func|fn|function|async def)\s+\w+\s*[(<].*|class\s+\w+\s*(?:[:({].*)?|(?:const|let|var|val)\s+\w+.*=.*|import\s+[\w{*\"'.]+(?:\s+from.*|\s+as.*|;)?|from\s+[\w.]+\s+import\b.*|#include.*|\}.*|[)\]]+[;,]?)\s*$"
+)
 _NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
