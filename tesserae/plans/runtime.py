@@ -8,7 +8,9 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Largest side, in bytes of raw data, that the engine broadcasts by hint.
 BROADCAST_BYTES = 64 << 20
@@ -63,6 +65,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df if parts >= cores else df.repartition(cores)
 
 
+def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with the place of each row in a total order, from 1.
+
+    Rows are ranked within ranges of the order, whose counts are summed; no task sees more than a range.
+    """
+    ranged = cut(df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).withColumn("__part", F.spark_partition_id()))
+    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return ranged.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + within).drop("__part", "__before")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
