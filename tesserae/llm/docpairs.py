@@ -114,24 +114,30 @@ _NUMBER = r"(?:0[xX][\da-fA-F_']+|(?:\d[\d_']*+(?:\.(?!\.)[\d_]*+)?|\.\d[\d_]*+)
 _TWO = r"=>|->|::|\.\.\.|[^\w\s]"
 _BLOCK = r"/\*(?:[^*]|\*(?!/))*+(?:\*/|\Z)"
 
+
+
+def _scanner(skipped: str, kinds: str) -> re.Pattern:
+    return re.compile(rf"(?:{skipped})*+(?:{kinds}|(?P<z>\Z))", re.S)
+
+
 _SCANNERS = {
-    "py": re.compile(
-        r"(?P<w>[ \t\f]+|\\\r?\n)|(?P<c>#[^\r\n]*)|(?P<l>\r\n|\n|\r)"
+    "py": _scanner(
+        r"[ \t\f]+|\\\r?\n",
+        r"(?P<c>#[^\r\n]*)|(?P<l>[\r\n]\s*)"
         r"|(?P<s>(?i:[rbuft]{0,3})(?:\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*+'''|\"(?!\"\")(?:[^\"\\\r\n]|\\(?:\r\n|.))*+\"|'(?!'')(?:[^'\\\r\n]|\\(?:\r\n|.))*+'))"
         rf"|(?P<n>{_NUMBER})|(?P<i>[^\W\d]\w*)|(?P<o>{_TWO})",
-        re.S,
     ),
-    "c": re.compile(
-        rf"(?P<w>\s+|\\\r?\n)|(?P<c>//(?:[^\r\n\\]|\\(?:\r\n|.)?)*+|{_BLOCK})|(?P<p>(?<![^\n\r])[ \t]*#(?:[^\r\n\\/]|\\\r?\n|\\.|/(?![*/])|/\*(?:[^*]|\*(?!/))*+\*/)*)|(?P<s>(?:u8|u|U|L)?R\"(?P<raw>[^\s()\\]{{0,16}})\((?:.|\n)*?\)(?P=raw)\"|(?:u8|u|U|L)?{_STRING}|{_CHAR})|(?P<n>{_NUMBER})|(?P<i>[^\W\d]\w*)|(?P<o>{_TWO})",
-        re.S,
+    "c": _scanner(
+        r"\s+|\\\r?\n",
+        rf"(?P<c>//(?:[^\r\n\\]|\\(?:\r\n|.)?)*+|{_BLOCK})|(?P<p>#(?:[^\r\n\\/]|\\\r?\n|\\.|/(?![*/])|/\*(?:[^*]|\*(?!/))*+\*/)*)|(?P<s>(?:u8|u|U|L)?R\"(?P<raw>[^\s()\\]{{0,16}})\((?:.|\n)*?\)(?P=raw)\"|(?:u8|u|U|L)?{_STRING}|{_CHAR})|(?P<n>{_NUMBER})|(?P<i>[^\W\d]\w*)|(?P<o>{_TWO})",
     ),
-    "go": re.compile(rf"(?P<w>\s+)|(?P<c>//[^\r\n]*|{_BLOCK})|(?P<s>{_STRING}|`[^`]*`|{_CHAR})|(?P<n>{_NUMBER})|(?P<i>[^\W\d]\w*)|(?P<o>{_TWO})", re.S),
-    "java": re.compile(rf"(?P<w>\s+)|(?P<c>//[^\r\n]*|{_BLOCK})|(?P<s>\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*+\"\"\"|{_STRING}|{_CHAR})|(?P<n>{_NUMBER})|(?P<i>[^\W\d][\w$]*)|(?P<o>{_TWO})", re.S),
-    "rs": re.compile(
-        rf"(?P<w>\s+)|(?P<c>//[^\r\n]*|/\*)|(?P<s>[bc]?r(?P<h>#*)\"(?:.|\n)*?\"(?P=h)|[bc]?\"(?:[^\"\\]|\\.)*+\"|b?'(?:[^'\\\r\n]|\\(?:x[\da-fA-F]{{2}}|u\{{[\da-fA-F_]+\}}|.))')|(?P<n>\d[\w]*(?:\.\d\w*)?)|(?P<i>(?:r#)?[^\W\d]\w*)|(?P<t>'[^\W\d]\w*)|(?P<o>{_TWO})",
-        re.S,
+    "go": _scanner(r"\s+", rf"(?P<c>//[^\r\n]*|{_BLOCK})|(?P<s>{_STRING}|`[^`]*`|{_CHAR})|(?P<n>{_NUMBER})|(?P<i>[^\W\d]\w*)|(?P<o>{_TWO})"),
+    "java": _scanner(r"\s+", rf"(?P<c>//[^\r\n]*|{_BLOCK})|(?P<s>\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*+\"\"\"|{_STRING}|{_CHAR})|(?P<n>{_NUMBER})|(?P<i>[^\W\d][\w$]*)|(?P<o>{_TWO})"),
+    "rs": _scanner(
+        r"\s+",
+        rf"(?P<c>//[^\r\n]*|/\*)|(?P<s>[bc]?r(?P<h>#*)\"(?:.|\n)*?\"(?P=h)|[bc]?\"(?:[^\"\\]|\\.)*+\"|b?'(?:[^'\\\r\n]|\\(?:x[\da-fA-F]{{2}}|u\{{[\da-fA-F_]+\}}|.))')|(?P<n>\d[\w]*(?:\.\d\w*)?)|(?P<i>(?:r#)?[^\W\d]\w*)|(?P<t>'[^\W\d]\w*)|(?P<o>{_TWO})",
     ),
-    "js": re.compile(rf"(?P<w>\s+)|(?P<c>//[^\r\n]*|{_BLOCK})|(?P<s>{_STRING}|{_CHAR})|(?P<q>`)|(?P<n>{_NUMBER})|(?P<i>(?:[^\W\d]|\$)(?:\w|\$)*)|(?P<o>{_TWO})", re.S),
+    "js": _scanner(r"\s+", rf"(?P<c>//[^\r\n]*|{_BLOCK})|(?P<s>{_STRING}|{_CHAR})|(?P<q>`)|(?P<n>{_NUMBER})|(?P<i>(?:[^\W\d]|\$)(?:\w|\$)*)|(?P<o>{_TWO})"),
 }
 _SCANNERS["cpp"] = _SCANNERS["c"]
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\r\n]|\\[^\r\n]|\[(?:[^\]\\\r\n]|\\[^\r\n])*\])+/[A-Za-z]*")
@@ -177,51 +183,52 @@ def scan(family: str, text: str) -> tuple[Tokens, list[tuple[int, int]]]:
         again = None
         for m in pattern.finditer(text, at):
             kind = m.lastgroup
-            if kind == "w":
-                continue
+            s = m[kind]
+            if kind == "z":
+                break
             if kind == "c":
-                if family == "rs" and m[0] == "/*":
+                if family == "rs" and s == "/*":
                     level, again = 1, last
                     for e in re.compile(r"/\*|\*/").finditer(text, m.end()):
                         level += 1 if e[0] == "/*" else -1
                         if not level:
                             again = e.end()
                             break
-                    comments.append((m.start(), again))
+                    comments.append((m.start(kind), again))
                     break
-                comments.append(m.span())
+                comments.append(m.span(kind))
                 continue
             if kind == "l":
                 if depth or not kinds or kinds[-1] == "l":
                     continue
             elif kind == "o":
-                s = m[0]
                 if s in "([{":
                     depth += 1
                 elif s in ")]}":
                     depth = max(0, depth - 1)
                 elif s == "/" and family == "js" and (not kinds or kinds[-1] == "k" or kinds[-1] == "o" and strings[-1] not in (")", "]", "}")):
-                    r = _REGEX.match(text, m.start())
+                    r = _REGEX.match(text, m.start(kind))
                     if r:
                         kinds.append("s")
                         strings.append("/")
-                        offsets.append(m.start())
+                        offsets.append(m.start(kind))
                         again = r.end()
                         break
             elif kind == "q":
                 again = _template_end(text, m.end())
                 kinds.append("s")
                 strings.append("`")
-                offsets.append(m.start())
+                offsets.append(m.start(kind))
                 break
             elif kind == "i":
-                if m[0] in reserved:
-                    kind = "k"
-            elif kind in ("raw", "h"):
-                kind = "s"
+                if s in reserved:
+                    offsets.append(m.start(kind))
+                    kinds.append("k")
+                    strings.append(s)
+                    continue
+            offsets.append(m.start(kind))
             kinds.append(kind)
-            strings.append(m[0])
-            offsets.append(m.start())
+            strings.append(s)
         if again is None:
             break
         at = again

@@ -550,6 +550,11 @@ def _statement_segments(grammar: Grammar, starters: str, joiners: str = "else",
     return split
 
 
+def _tokens(skipped: str, kinds: str) -> re.Pattern:
+    """Pattern of one token, or ``z`` at the end, with what is skipped before it; the token is the last named group."""
+    return re.compile(rf"(?:{skipped})*+(?:{kinds}|(?P<z>\Z))", re.S)
+
+
 def _whole(text: str) -> list[str]:
     return [text]
 
@@ -561,7 +566,7 @@ def _whole(text: str) -> list[str]:
 def json_language() -> Language:
     grammar = Grammar(JSON, ["json"])
     char = grammar.alphabet.char
-    pattern = re.compile(r'[ \t\r\n]+|(?P<s>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(?P<n>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.]))|(?P<o>[{}\[\],:]|true\b|false\b|null\b)|(?P<e>.)', re.S)
+    pattern = _tokens(r"[ \t\r\n]+", r'(?P<s>"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(?P<n>-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.]))|(?P<o>[{}\[\],:]|true\b|false\b|null\b)|(?P<e>.)')
     known = {"s": char("STR"), "n": char("NUM")}
     literal = {**{b: b for b in "{}[]"}, ",": char(","), ":": char(":"), **{w: char(w) for w in ("true", "false", "null")}}
 
@@ -570,10 +575,12 @@ def json_language() -> Language:
         for m in pattern.finditer(text):
             kind = m.lastgroup
             if kind == "o":
-                out.append(literal[m[0]])
+                out.append(literal[m[kind]])
+            elif kind == "z":
+                break
             elif kind == "e":
                 return None
-            elif kind:
+            else:
                 out.append(known[kind])
         return "".join(out)
 
@@ -691,15 +698,15 @@ def _plain_lexer(grammar: Grammar, literal: dict[str, str], pattern: re.Pattern,
         out: list[str] = []
         for m in pattern.finditer(text):
             kind = m.lastgroup
-            if kind is None:
-                continue
             if kind == "i":
-                out.append(words.get(m[0], identifier))
+                out.append(words.get(m[kind], identifier))
             elif kind == "o":
-                out.append(literal[m[0]])
+                out.append(literal[m[kind]])
             elif kind == "l":
-                if ends is not None and out and out[-1] in ends and "\n" in m[0]:
+                if ends is not None and out and out[-1] in ends and "\n" in m[kind]:
                     out.append(stop)
+            elif kind == "z":
+                break
             elif kind == "e":
                 return None
             else:
@@ -716,7 +723,7 @@ def go_language() -> Language:
     grammar = Grammar(GO, ["go"], {"OPERATOR": operators, "ASSIGN": assign})
     literal = _literals(grammar)
     char = grammar.alphabet.char
-    pattern = re.compile(rf"[ \t\f]+|(?P<l>\r\n|\n|\r|{_C_COMMENT})|(?P<s>{_C_STRING}|`[^`]*`)|(?P<c>{_C_CHAR})|(?P<n>{_C_NUMBER})|(?P<i>[^\W\d]\w*)|(?P<o>{_operators(literal)})|(?P<e>.)", re.S)
+    pattern = _tokens(r"[ \t\f]+", rf"(?P<l>\r\n|\n|\r|{_C_COMMENT})|(?P<s>{_C_STRING}|`[^`]*`)|(?P<c>{_C_CHAR})|(?P<n>{_C_NUMBER})|(?P<i>[^\W\d]\w*)|(?P<o>{_operators(literal)})|(?P<e>.)")
     ends = frozenset({char(t) for t in ("ID", "NUM", "STR", "CHAR", "break", "continue", "fallthrough", "return", "++", "--")} | set(")]}"))
     lexer = _plain_lexer(grammar, literal, pattern, {"s": "STR", "c": "CHAR", "n": "NUM"}, ends)
     return Language(grammar, lexer, _statement_segments(grammar, "", headers="for if switch select"), grammar.all)
@@ -734,7 +741,7 @@ def java_language() -> Language:
     # A sign is unary and binary: it has a character of its own.
     plus = grammar.alphabet.char("-")
     literal["+"] = plus
-    pattern = re.compile(rf"\s+|{_C_COMMENT}|(?P<s>\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*+\"\"\"|{_C_STRING})|(?P<c>{_C_CHAR})|(?P<n>{_C_NUMBER})|(?P<i>[^\W\d][\w$]*|\$[\w$]*)|(?P<o>{_operators(literal)})|(?P<e>.)", re.S)
+    pattern = _tokens(rf"\s+|{_C_COMMENT}", rf"(?P<s>\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*+\"\"\"|{_C_STRING})|(?P<c>{_C_CHAR})|(?P<n>{_C_NUMBER})|(?P<i>[^\W\d][\w$]*|\$[\w$]*)|(?P<o>{_operators(literal)})|(?P<e>.)")
     lexer = _plain_lexer(grammar, literal, pattern, {"s": "STR", "c": "CHAR", "n": "NUM"})
     starters = "ID MODIFIER PRIMITIVE @ static final void class interface enum if for while return try switch throw break continue synchronized"
     return Language(grammar, lexer, _statement_segments(grammar, starters.replace(" while", "")), grammar.all)
@@ -791,9 +798,9 @@ def c_languages() -> dict[str, Language]:
 
     made = {}
     for dialects, literal in (("c", c), ("cpp", cpp)):
-        pattern = re.compile(
-            rf"\s+|\\\r?\n|{_C_COMMENT}|(?P<s>(?:(?:u8|u|U|L)?R\"(?P<raw>[^\s()\\]{{0,16}})\((?:.|\n)*?\)(?P=raw)\"|(?:u8|u|U|L)?{_C_STRING})(?:_\w+)?)|(?P<c>(?:u8|u|U|L)?{_C_CHAR})|(?P<n>{_C_NUMBER})|(?P<i>[^\W\d][\w$]*)|(?P<o>{_operators(literal)})|(?P<e>.)",
-            re.S,
+        pattern = _tokens(
+            rf"\s+|\\\r?\n|{_C_COMMENT}",
+            rf"(?P<s>(?:(?:u8|u|U|L)?R\"(?P<raw>[^\s()\\]{{0,16}})\((?:.|\n)*?\)(?P=raw)\"|(?:u8|u|U|L)?{_C_STRING})(?:_\w+)?)|(?P<c>(?:u8|u|U|L)?{_C_CHAR})|(?P<n>{_C_NUMBER})|(?P<i>[^\W\d][\w$]*)|(?P<o>{_operators(literal)})|(?P<e>.)",
         )
         kinds = {"s": "STR", "c": "CHAR", "n": "NUM", "raw": "STR"}
         lexer = _plain_lexer(grammar, literal, pattern, kinds, prepare=prepare)
@@ -809,9 +816,9 @@ def rust_language() -> Language:
     grammar = Grammar(RUST, ["rust"], {"ID": _words("union auto default raw box macro_rules"), "OPERATOR": operators, "RANGE": _words(".. ..= ..."), "RESERVED": reserved})
     char = grammar.alphabet.char
     literal = _literals(grammar)
-    pattern = re.compile(
-        rf"\s+|//[^\r\n]*|(?P<m>/\*)|(?P<a>#!\[)|(?P<s>(?:b|c)?r(?P<h>#*)\"(?:.|\n)*?\"(?P=h)|[bc]?\"(?:[^\"\\]|\\.)*+\")|(?P<c>b?'(?:[^'\\\r\n]|\\(?:x[\da-fA-F]{{2}}|u\{{[\da-fA-F_]+\}}|.))')|(?P<t>'(?:[^\W\d]\w*))|(?P<n>(?:0[xX][\da-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+|\d[\d_]*+(?:\.(?![.\w])|\.\d[\d_]*+)?(?:[eE][+-]?[\d_]+)?)\w*)|(?P<i>(?:r#)?[^\W\d]\w*)|(?P<o>{_operators(literal)})|(?P<e>.)",
-        re.S,
+    pattern = _tokens(
+        r"\s+|//[^\r\n]*",
+        rf"(?P<m>/\*)|(?P<a>#!\[)|(?P<s>(?:b|c)?r(?P<h>#*)\"(?:.|\n)*?\"(?P=h)|[bc]?\"(?:[^\"\\]|\\.)*+\")|(?P<c>b?'(?:[^'\\\r\n]|\\(?:x[\da-fA-F]{{2}}|u\{{[\da-fA-F_]+\}}|.))')|(?P<t>'(?:[^\W\d]\w*))|(?P<n>(?:0[xX][\da-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+|\d[\d_]*+(?:\.(?![.\w])|\.\d[\d_]*+)?(?:[eE][+-]?[\d_]+)?)\w*)|(?P<i>(?:r#)?[^\W\d]\w*)|(?P<o>{_operators(literal)})|(?P<e>.)",
     )
     words = {t: c for t, c in literal.items() if re.match(r"\w", t)}
     identifier, string, character, number, lifetime, inner = (char(t) for t in ("ID", "STR", "CHAR", "NUM", "LIFETIME", "INNER"))
@@ -825,16 +832,16 @@ def rust_language() -> Language:
         while at < last:
             for m in pattern.finditer(text, at):
                 kind = m.lastgroup
-                if kind is None:
-                    continue
                 if kind == "i":
-                    out.append(words.get(m[0], identifier))
+                    out.append(words.get(m[kind], identifier))
                 elif kind == "o":
-                    out.append(literal[m[0]])
+                    out.append(literal[m[kind]])
                 elif kind == "s" or kind == "h":
                     out.append(string)
                 elif kind == "n":
                     out.append(number)
+                elif kind == "z":
+                    continue
                 elif kind == "c":
                     out.append(character)
                 elif kind == "t":
@@ -884,10 +891,10 @@ def script_languages() -> dict[str, Language]:
     literal = _literals(grammar)
     words = {t: c for t, c in literal.items() if re.match(r"[\w$]", t)}
     body = (
-        rf"[^\S\r\n  ]+|(?P<l>\r\n|\n|\r| | |{_C_COMMENT}|<!--[^\r\n]*)|(?P<s>{_C_STRING}|'(?:[^'\\\r\n]|\\(?:\r\n|.))*+')|(?P<n>(?:0[xX][\da-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+|(?:\d[\d_]*+(?:\.[\d_]*+)?|\.\d[\d_]*+)(?:[eE][+-]?\d+)?)n?(?![\w$]))"
+        rf"(?P<l>[\r\n\u2028\u2029]\s*|/\*(?:[^*]|\*(?!/))*+\*/|<!--[^\r\n]*)|(?P<s>{_C_STRING}|'(?:[^'\\\r\n]|\\(?:\r\n|.))*+')|(?P<n>(?:0[xX][\da-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+|(?:\d[\d_]*+(?:\.[\d_]*+)?|\.\d[\d_]*+)(?:[eE][+-]?\d+)?)n?(?![\w$]))"
         rf"|(?P<p>\#[^\W\d][\w$]*)|(?P<d>@[^\W\d][\w$]*(?:\.[\w$]+)*)|(?P<i>(?:[^\W\d]|\$)(?:\w|\$)*)|(?P<t>`)"
     )
-    pattern = re.compile(body + rf"|(?P<o>{_operators(literal)})|(?P<e>.)", re.S)
+    pattern = _tokens(r"[^\S\r\n\u2028\u2029]+|//[^\r\n\u2028\u2029]*|/\*[^*\r\n]*\*/", body + rf"|(?P<o>{_operators(literal)})|(?P<e>.)")
     regex = re.compile(r"/(?![*/])(?:[^/\\\[\r\n]|\\[^\r\n]|\[(?:[^\]\\\r\n]|\\[^\r\n])*\])+/[dgimsuvy]*(?![\w$])")
     identifier, string, number, template, regular, decorator, stop = (char(t) for t in ("ID", "STR", "NUM", "TEMPLATE", "REGEX", "DECORATOR", ";"))
     private, hashbang, divide = char("PRIVATE"), char("HASHBANG"), literal["/"]
@@ -906,14 +913,14 @@ def script_languages() -> dict[str, Language]:
         while at < last:
             m = pattern.match(text, at)
             kind = m.lastgroup
+            if kind == "z":
+                break
             at = m.end()
-            if kind is None:
-                continue
             if kind == "l":
-                fresh = fresh or "\n" in m[0] or "\r" in m[0]
+                fresh = fresh or "\n" in m[kind] or "\r" in m[kind]
                 continue
             if kind == "i":
-                c = words.get(m[0], identifier)
+                c = words.get(m[kind], identifier)
                 if out and out[-1] in property_signs and c != identifier and c not in decorator_only:
                     c = word_after_dot
             elif kind == "s":
@@ -932,9 +939,9 @@ def script_languages() -> dict[str, Language]:
             elif kind == "e":
                 return None
             else:
-                c = literal[m[0]]
-                if m[0] in ("/", "/=") and not (out and out[-1] in values and out[-1] not in prefix_words):
-                    r = regex.match(text, m.start())
+                c = literal[m[kind]]
+                if m[kind] in ("/", "/=") and not (out and out[-1] in values and out[-1] not in prefix_words):
+                    r = regex.match(text, m.start(kind))
                     if r is None:
                         return None
                     at, c = r.end(), regular
@@ -982,14 +989,16 @@ def script_languages() -> dict[str, Language]:
         depth = 0
         while at < len(text):
             m = pattern.match(text, at)
+            if m.lastgroup == "z":
+                return None
             at = m.end()
             if m.lastgroup == "t":
                 at = skip_template(text, at)
                 if at is None:
                     return None
-            elif m[0] == "(":
+            elif m[m.lastgroup] == "(":
                 depth += 1
-            elif m[0] == ")":
+            elif m[m.lastgroup] == ")":
                 depth -= 1
                 if not depth:
                     return at
