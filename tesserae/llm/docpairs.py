@@ -176,8 +176,23 @@ def _peg(family: str) -> Peg:
 
 def scan(family: str, text: str) -> tuple[Tokens, list[tuple[int, int]]]:
     """Tokens of a text, and the spans of its comments; breaks of lines are tokens only in Python, outside brackets."""
+    # Where no token depends on what stands before it, the pattern's matches are the tokens.
+    if family in ("go", "java", "c", "cpp") or family == "rs" and "/*" not in text or family == "js" and "`" not in text:
+        found = [*_SCANNERS[family].finditer(text)]
+        kinds = [m.lastgroup for m in found]
+        strings = [m[k] for m, k in zip(found, kinds)]
+        if family != "js" or "/" not in strings:
+            offsets = [m.start(k) for m, k in zip(found, kinds)]
+            comments = [(o, o + len(c)) for k, c, o in zip(kinds, strings, offsets) if k == "c"]
+            kept = [i for i, k in enumerate(kinds) if k != "c" and k != "z"]
+            return Tokens([kinds[i] for i in kept], [strings[i] for i in kept], [offsets[i] for i in kept], _RESERVED[family]), comments
+    return _scan(family, text)
+
+
+def _scan(family: str, text: str) -> tuple[Tokens, list[tuple[int, int]]]:
     kinds, strings, offsets, comments = [], [], [], []
     reserved, pattern = _RESERVED[family], _SCANNERS[family]
+    script = family == "js"
     depth, at, last = 0, 0, len(text)
     while at < last:
         again = None
@@ -206,7 +221,7 @@ def scan(family: str, text: str) -> tuple[Tokens, list[tuple[int, int]]]:
                     depth += 1
                 elif s in ")]}":
                     depth = max(0, depth - 1)
-                elif s == "/" and family == "js" and (not kinds or kinds[-1] == "k" or kinds[-1] == "o" and strings[-1] not in (")", "]", "}")):
+                elif script and s == "/" and (not kinds or strings[-1] in reserved or kinds[-1] == "o" and strings[-1] not in (")", "]", "}")):
                     r = _REGEX.match(text, m.start(kind))
                     if r:
                         kinds.append("s")
@@ -220,19 +235,13 @@ def scan(family: str, text: str) -> tuple[Tokens, list[tuple[int, int]]]:
                 strings.append("`")
                 offsets.append(m.start(kind))
                 break
-            elif kind == "i":
-                if s in reserved:
-                    offsets.append(m.start(kind))
-                    kinds.append("k")
-                    strings.append(s)
-                    continue
             offsets.append(m.start(kind))
             kinds.append(kind)
             strings.append(s)
         if again is None:
             break
         at = again
-    return Tokens(kinds, strings, offsets), comments
+    return Tokens(kinds, strings, offsets, reserved), comments
 
 
 def _template_end(text: str, at: int) -> int:
@@ -295,7 +304,7 @@ def functions(extension: str, text: str, documented: bool = False) -> Iterator[t
             ready = s in anywhere
         else:
             before = strings[i - 1] if i else None
-            ready = s in anywhere or (kinds[i] in "ik" or s in "@#[*~") and (before in begin or kinds[i - 1] in "ps" if i else True) or s == "template"
+            ready = s in anywhere or (kinds[i] == "i" or s in "@#[*~") and (before in begin or kinds[i - 1] in "ps" if i else True) or s == "template"
         found = peg.match("Definition", tokens, i) if ready and kinds[i] != "s" else None
         if found is None:
             i += 1
@@ -402,9 +411,11 @@ def pairs(extension: str, text: str) -> Iterator[Pair]:
                 yield Pair(name, line, start, end, doc, words)
 
 
-def extract(df: DataFrame, id_col: str = "file_id", name_col: str = "name", text_col: str = "text") -> DataFrame:
+def extract(df: DataFrame, id_col: str = "file_id", name_col: str = "name", text_col: str = "text", texts: bool = True) -> DataFrame:
     """``id``, ``name``, ``def_line``, ``code``, ``doc``, ``words``: functions with documentation that says something.
 
+    Without ``texts``, code and doc are null: what an Arrow function returns is not pruned by the plan.
+
     Files that do not parse, with another extension, or with a null name or text, give none. Lines
     count from 1, ended by CR LF, LF or CR. A repeated row gives its rows again. Only the three named
     columns are read.
@@ -419,7 +430,7 @@ def extract(df: DataFrame, id_col: str = "file_id", name_col: str = "name", text
             for key, ext, text in zip(*(batch.column(c).to_pylist() for c in ("id", "extension", "text"))):
                 found = list(pairs(ext, text))
                 if found and syntax.parses(ext, text):
-                    out += [(key, p.name, p.def_line, text[p.start : p.end], p.doc, p.words) for p in found]
+                    out += [(key, p.name, p.def_line, *((text[p.start : p.end], p.doc) if texts else (None, None)), p.words) for p in found]
             columns = list(zip(*out)) or [()] * 6
             types = [batch.schema.field("id").type, pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "name", "def_line", "code", "doc", "words"])

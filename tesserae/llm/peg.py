@@ -12,6 +12,7 @@ import re
 from collections.abc import Callable
 
 _ITEM = re.compile(r"'[^']*'|\(\.\.\)|\[\.\.\]|\{\.\.\}|[\w]+=|\w+|[/?*+!&()]")
+_BRACKETS = frozenset("()[]{}")
 _GROUPS = {"(..)": "(", "[..]": "[", "{..}": "{"}
 
 #: End of a match and what it kept, as (label, from, to) triples; None if there is none.
@@ -19,19 +20,17 @@ Match = tuple[int, tuple]
 
 
 class Tokens:
-    """Tokens of a text: kind, string, offset; closing positions of brackets."""
+    """Tokens of a text: kind, string, offset; closing positions of brackets. Reserved words are of kind KEY, not ID."""
 
-    def __init__(self, kinds: list[str], strings: list[str], offsets: list[int]):
-        self.kinds, self.strings, self.offsets = kinds, strings, offsets
+    def __init__(self, kinds: list[str], strings: list[str], offsets: list[int], reserved: set[str] = frozenset()):
+        self.kinds, self.strings, self.offsets, self.reserved = kinds, strings, offsets, reserved
         self.close: dict[int, int] = {}
-        self.closers: set[int] = set()
         stack: list[int] = []
-        for i, (kind, s) in enumerate(zip(kinds, strings)):
-            if kind == "o":
-                if s in "([{":
-                    stack.append(i)
-                elif s in ")]}" and stack:
-                    self.close[stack.pop()] = i
+        for i in [i for i, s in enumerate(strings) if s in _BRACKETS]:
+            if strings[i] in "([{":
+                stack.append(i)
+            elif stack:
+                self.close[stack.pop()] = i
         self.memo: dict = {}
 
 
@@ -131,6 +130,9 @@ class Peg:
             return lambda tokens, i: (i + 1, ()) if i < len(tokens.strings) and tokens.strings[i] == wanted and tokens.kinds[i] != "s" else None
         if token == "Token":
             return lambda tokens, i: (i + 1, ()) if i < len(tokens.kinds) else None
+        if token in ("ID", "KEY"):
+            free, word = token == "ID", self._kinds["ID"]
+            return lambda tokens, i: (i + 1, ()) if i < len(tokens.kinds) and tokens.kinds[i] == word and (tokens.strings[i] not in tokens.reserved) == free else None
         if token in self._kinds:
             kind = self._kinds[token]
             return lambda tokens, i: (i + 1, ()) if i < len(tokens.kinds) and tokens.kinds[i] == kind else None

@@ -124,7 +124,7 @@ def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documented functions by file and line."""
-    return docpairs.extract(table(spark, sf_dir, "files")).select(F.col("id").alias("file_id"), "def_line").distinct()
+    return docpairs.extract(table(spark, sf_dir, "files"), texts=False).select(F.col("id").alias("file_id"), "def_line").distinct()
 
 
 QUERIES = {
