@@ -88,7 +88,7 @@ _COSINE = "round(coalesce(CASE WHEN list_sum([x * x for x in vector]) = 0 OR lis
 _KNN = f"""near AS (SELECT question_id, chunk_id, {_COSINE} AS score FROM asked, c WHERE len(vector) = {DIM}),
   knn AS (SELECT question_id, chunk_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM near QUALIFY rank <= {TOP_K})"""
 
-_EDGE = r"[""''`,;:!?\[\]{}<>]"
+_EDGE = r"""["''`,;:!?\[\]{}<>]"""
 _IDENT = "^[A-Za-z_][A-Za-z0-9_]*$"
 _TERMS = rf"""raws AS (
     SELECT question_id, unnest(regexp_split_to_array(trim(regexp_replace(question, '`[^`]+`', ' ', 'g')), '\s+')) AS raw, false AS explicit FROM q
