@@ -23,7 +23,6 @@ END = "\x03"
 MEMO = 200_000
 
 _TOKEN = re.compile(r"'(?:[^'\\]|\\.)*'|[({\[<]:\s*\w+\s*:[)}\]>]|@[\w,]+|\w+|[|?*+()^]")
-_REPEAT = re.compile(r"(..)\1{2,}", re.S)
 
 
 class Alphabet:
@@ -40,7 +39,7 @@ class Alphabet:
 class Grammar:
     """A compiled grammar: recognises strings over its alphabet."""
 
-    def __init__(self, text: str, dialects: list[str], classes: dict[str, list[str]] | None = None):
+    def __init__(self, text: str, dialects: list[str], classes: dict[str, list[str]] | None = None, ended: Iterable[str] = ()):
         """``classes``: tokens of each class. A token that the rules also name has its own character, which counts as the class too. ANY is any terminal."""
         self.alphabet = Alphabet()
         self.dialects = {d: 1 << i for i, d in enumerate(dialects)}
@@ -67,6 +66,11 @@ class Grammar:
         if missing:
             raise ValueError(f"no rule for {missing}")
         self._predict(classes or {})
+        #: Contents that know an end mark besides lists.
+        self._ended = {i for n, i in self.names.items() if n in ended}
+        # Of many equal items with separators, no rule can tell three from two.
+        separators = "".join(re.escape(c) for t, c in self.alphabet.chars.items() if t in (",", ";", "+", "NL"))
+        self._repeats = re.compile(rf"(.[{separators}])\1{{2,}}", re.S) if separators else None
 
     # Compilation
 
@@ -263,10 +267,11 @@ class Grammar:
 
     def fits(self, start: int, text: str, segments) -> int:
         """As :meth:`recognise`, through the memo; a list is recognised statement by statement."""
-        text = _REPEAT.sub(r"\1\1", text)
+        if self._repeats is not None:
+            text = self._repeats.sub(r"\1\1", text)
         item = self.lists.get(start)
         if item is None:
-            return self._known(start, text)
+            return self._known(start, text + END if start in self._ended else text)
         mask = self.all
         for part in dict.fromkeys(segments(text)):
             mask &= self._known(item, part)

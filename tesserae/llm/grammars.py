@@ -132,12 +132,12 @@ Statement : Declaration | ID ':' Statement? | SimpleStatement | 'return' Exprs?
 SimpleStatement : Expr | Exprs ('=' | ':=' | ASSIGN) Exprs | Expr ('++' | '--') | Expr '<-' Expr
 If : 'if' (SimpleStatement? ';')? SimpleStatement {:Block:} ('else' (If | {:Block:}))?
 Switch : 'switch' (SimpleStatement? ';')? SimpleStatement? {:Cases:}
-Cases : Case*
+Cases : Case* END?
 Case : ('case' CaseList | 'default') ':' Line*
 CaseList : CaseItem (',' CaseItem)*
 CaseItem : Expr | Type
 Select : 'select' {:Comms:}
-Comms : Comm*
+Comms : Comm* END?
 Comm : ('case' SimpleStatement | 'default') ':' Line*
 For : 'for' {:Block:} | 'for' SimpleStatement {:Block:} | 'for' SimpleStatement? ';' Expr? ';' SimpleStatement? {:Block:} | 'for' (Exprs ('=' | ':='))? 'range' Expr {:Block:}
 Exprs : Expr (',' Expr)*
@@ -274,7 +274,7 @@ ForControl : (Variables | Expr)? ';' Expr? ';' Expr? | (('var' | 'let' | 'const'
 Try : 'try' {:Block:} ('catch' (:CatchParam:)? {:Block:})? ('finally' {:Block:})?
 CatchParam : Pattern Annotation?
 Switch : 'switch' (:Expr:) {:Cases:}
-Cases : Case*
+Cases : Case* END?
 Case : ('case' Expr | 'default') ':' Statement*
 ImportClause : STR With? | @ts 'type' ImportNames 'from' STR | ImportNames 'from' STR With? | @ts ID '=' Expr
 With : ('with' | 'assert') {:Pairs:}
@@ -371,8 +371,8 @@ Block :: Statement
 Statement : ';' | END | INNER | Item | Attribute* 'let' Pattern (':' Type)? ('=' Expr ('else' {:Block:})?)? Stop | Attribute* Expr Stop | Attribute* BlockLike
 BlockLike : (LIFETIME ':')? (If | 'match' Expr {:Arms:} | ('unsafe' | 'async' 'move'? | 'const')? {:Block:} | 'loop' {:Block:} | 'while' Expr {:Block:} | 'for' Pattern 'in' Expr {:Block:})
 If : 'if' Expr {:Block:} ('else' (If | {:Block:}))?
-Arms : (Arm (Arm)* )?
-Arm : Attribute* Pattern ('if' Expr)? '=>' (Expr ',' | Expr END | BlockLike ','? | Expr)
+Arms : Arm* END?
+Arm : Attribute* Pattern ('if' Expr)? '=>' (Expr ',' | Expr END | BlockLike ','?)
 Pattern : '|'? Single ('|' Single)*
 Single : '_' | '..' | ('ref' | 'mut')* ID ('@' Pattern)? | Literal | Literal? RANGE Literal? | PatternPath ((:Patterns:) | {:FieldPatterns:})? | '&' 'mut'? Single | '&&' 'mut'? Single | (:Patterns:) | [:Patterns:] | Path '!' (:Anything:) | 'box' Single | 'const' {:Block:}
 PatternPath : '::'? PatternSegment ('::' PatternSegment)* | '<' Type ('as' TypePath)? '>' ('::' PatternSegment)+
@@ -468,10 +468,10 @@ Binary : Unary (Operator Unary)*
 Operator : OPERATOR | '<' | '>' | '>' '=' | '>' '>' | '&' | '&&' | '*' | '-' | '+' | @cpp '->*' | @cpp '.*'
 Additive : Unary ((OPERATOR | '&' | '&&' | '*' | '-' | '+') Unary)*
 Operand : Unary
-Unary : Prefix* Postfix | Prefix* (:TypeId:) Unary | Prefix* (:TypeId:) {:Initialisers:} | Prefix* 'sizeof' '...'? (:TypeId:) | Prefix* 'sizeof' (:TypeId:) {:Initialisers:} | Prefix* 'alignof' (:TypeId:)
+Unary : Prefix* Postfix | Prefix* (:TypeId:) Unary | Prefix* 'sizeof' '...'? (:TypeId:) | Prefix* 'sizeof' (:TypeId:) {:Initialisers:} | Prefix* 'alignof' (:TypeId:)
 Prefix : '-' | '+' | '!' | '~' | '*' | '&' | '&&' | '++' | '--' | 'sizeof' | '__extension__' | @cpp 'co_await' | @cpp 'delete' [:Nothing:]? | @cpp '::' 'delete'
 Postfix : Start Suffix*
-Start : Qualified | NUM | Strings | CHAR | 'true' | 'false' | 'nullptr' | 'this' | (:Expr:) | (:StatementExpr:) | @cpp New | @cpp Lambda | @cpp CAST '<' TypeId '>' (:Expr:) | @cpp BUILTIN+ ((:Arguments:) | {:Initialisers:}) | @cpp Qualified {:Initialisers:} | @cpp 'typename' Qualified ((:Arguments:) | {:Initialisers:}) | @cpp (:Fold:) | 'va_arg' (:VaArg:) | 'offsetof' (:VaArg:) | @cpp 'typeid' ((:TypeId:) | (:Expr:)) | @cpp 'noexcept' (:Expr:) | @cpp 'requires' (:Params:)? {:Anything:} | 'generic' (:Anything:) | @cpp 'decltype' (:Expr:) | @cpp 'auto' ((:Arguments:) | {:Initialisers:})
+Start : Qualified | (:TypeId:) {:Initialisers:} | NUM | Strings | CHAR | 'true' | 'false' | 'nullptr' | 'this' | (:Expr:) | (:StatementExpr:) | @cpp New | @cpp Lambda | @cpp CAST '<' TypeId '>' (:Expr:) | @cpp BUILTIN+ ((:Arguments:) | {:Initialisers:}) | @cpp Qualified {:Initialisers:} | @cpp 'typename' Qualified ((:Arguments:) | {:Initialisers:}) | @cpp (:Fold:) | 'va_arg' (:VaArg:) | 'offsetof' (:VaArg:) | @cpp 'typeid' ((:TypeId:) | (:Expr:)) | @cpp 'noexcept' (:Expr:) | @cpp 'requires' (:Params:)? {:Anything:} | 'generic' (:Anything:) | @cpp 'decltype' (:Expr:) | @cpp 'auto' ((:Arguments:) | {:Initialisers:})
 Strings : ID? STR (STR | ID STR?)*
 StatementExpr : {:Block:}
 VaArg : Assignment ',' TypeId | TypeId ',' Assignment
@@ -720,7 +720,7 @@ def _plain_lexer(grammar: Grammar, literal: dict[str, str], pattern: re.Pattern,
 def go_language() -> Language:
     operators = _words("+ / % ^ << >> &^ == != < <= > >= && || & - ")
     assign = _words("+= -= *= /= %= &= |= ^= <<= >>= &^=")
-    grammar = Grammar(GO, ["go"], {"OPERATOR": operators, "ASSIGN": assign})
+    grammar = Grammar(GO, ["go"], {"OPERATOR": operators, "ASSIGN": assign}, ["Cases", "Comms"])
     literal = _literals(grammar)
     char = grammar.alphabet.char
     pattern = _tokens(r"[ \t\f]+", rf"(?P<l>\r\n|\n|\r|{_C_COMMENT})|(?P<s>{_C_STRING}|`[^`]*`)|(?P<c>{_C_CHAR})|(?P<n>{_C_NUMBER})|(?P<i>[^\W\d]\w*)|(?P<o>{_operators(literal)})|(?P<e>.)")
@@ -813,7 +813,7 @@ def c_languages() -> dict[str, Language]:
 def rust_language() -> Language:
     operators = _words("/ % ^ << == <= += -= *= /= %= ^= &= |= <<= ")
     reserved = _words("$ ~ yield become do final override priv abstract macro virtual unsized typeof try")
-    grammar = Grammar(RUST, ["rust"], {"ID": _words("union auto default raw box macro_rules"), "OPERATOR": operators, "RANGE": _words(".. ..= ..."), "RESERVED": reserved})
+    grammar = Grammar(RUST, ["rust"], {"ID": _words("union auto default raw box macro_rules"), "OPERATOR": operators, "RANGE": _words(".. ..= ..."), "RESERVED": reserved}, ["Arms"])
     char = grammar.alphabet.char
     literal = _literals(grammar)
     pattern = _tokens(
@@ -886,7 +886,7 @@ def script_languages() -> dict[str, Language]:
     operators = _words("/ % ^ << == != === !== <= && || ?? ** ")
     assign = _words("+= -= *= /= %= &= |= ^= <<= **= &&= ||= ??=")
     classes = {"ID": [*soft_js, *soft_ts], "OPERATOR": operators, "ASSIGN": assign, "PREFIX": _words("~ ++ -- delete"), "ACCESS": access}
-    grammar = Grammar(JAVASCRIPT, ["js", "ts", "jsx"], {**classes, "WORD": [*keywords, *soft_js, *soft_ts, *access, "PREFIX", "ACCESS"]})
+    grammar = Grammar(JAVASCRIPT, ["js", "ts", "jsx"], {**classes, "WORD": [*keywords, *soft_js, *soft_ts, *access, "PREFIX", "ACCESS"]}, ["Cases"])
     char = grammar.alphabet.char
     literal = _literals(grammar)
     words = {t: c for t, c in literal.items() if re.match(r"[\w$]", t)}
@@ -899,7 +899,7 @@ def script_languages() -> dict[str, Language]:
     identifier, string, number, template, regular, decorator, stop = (char(t) for t in ("ID", "STR", "NUM", "TEMPLATE", "REGEX", "DECORATOR", ";"))
     private, hashbang, divide = char("PRIVATE"), char("HASHBANG"), literal["/"]
     # Behind these, a slash divides and a line break may end a statement.
-    values = frozenset({identifier, string, number, template, regular, private, *(char(w) for w in ("this", "super", "null", "true", "false", "undefined", "++", "--")), *(char(w) for w in [*soft_js, *soft_ts]), char("ACCESS"), *")]}"})
+    values = frozenset({identifier, string, number, template, regular, private, *(char(w) for w in ("this", "super", "null", "true", "false", "undefined", "void", "++", "--")), *(char(w) for w in [*soft_js, *soft_ts]), char("ACCESS"), *")]}"})
     restricted = frozenset(char(w) for w in ("return", "break", "continue", "throw", "debugger"))
     prefix_words = frozenset(char(w) for w in ("typeof", "void", "new", "in", "instanceof", "case", "delete", "return", "else", "do", "delete") if w in grammar.alphabet.chars)
     # Tokens that go on with an expression or statement begun on the line before.

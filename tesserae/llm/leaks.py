@@ -136,7 +136,7 @@ def _extend(a: np.ndarray, b: np.ndarray, i: int, j: int, step: int) -> list[tup
         i, j = i + step * n, j + step * n
         ways = [(_run(a, b, i + step * x, j + step * y, step), -max(x, y), x, y) for x, y in _EDITS]
         n, _, x, y = max(ways)
-        if n < (2 if (x, y) == (1, 1) else 3):
+        if n < (1 if (x, y) == (1, 1) else 3):
             return out
         i, j, skipped = i + step * x, j + step * y, (x, y)
 
