@@ -112,6 +112,8 @@ _STRING = r"\"(?:[^\"\\\r\n]|\\(?:\r\n|.))*+\""
 _CHAR = r"'(?:[^'\\\r\n]|\\(?:\r\n|.))*+'"
 _NUMBER = r"(?:0[xX][\da-fA-F_']+|(?:\d[\d_']*+(?:\.(?!\.)[\d_]*+)?|\.\d[\d_]*+)(?:[eE][+-]?\d[\d_]*+)?)\w*"
 _TWO = r"=>|->|::|\.\.\.|[^\w\s]"
+# Most tokens are words without a string behind them and signs that stand for themselves.
+_IDENT, _SIGN = r"[^\W\d]\w*+(?![\"'])", r"[(){}\[\];,]"
 _BLOCK = r"/\*(?:[^*]|\*(?!/))*+(?:\*/|\Z)"
 
 
@@ -123,23 +125,34 @@ def _scanner(skipped: str, kinds: str) -> re.Pattern:
 _SCANNERS = {
     "py": _scanner(
         r"[ \t\f]+|\\\r?\n",
-        r"(?P<c>#[^\r\n]*)|(?P<l>[\r\n]\s*)"
+        rf"(?P<i>{_IDENT})|(?P<b>{_SIGN})|(?P<c>#[^\r\n]*)|(?P<l>[\r\n]\s*)"
         r"|(?P<s>(?i:[rbuft]{0,3})(?:\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*+'''|\"(?!\"\")(?:[^\"\\\r\n]|\\(?:\r\n|.))*+\"|'(?!'')(?:[^'\\\r\n]|\\(?:\r\n|.))*+'))"
-        rf"|(?P<n>{_NUMBER})|(?P<i>[^\W\d]\w*)|(?P<o>{_TWO})",
+        rf"|(?P<n>{_NUMBER})|(?P<j>[^\W\d]\w*)|(?P<o>{_TWO})",
     ),
     "c": _scanner(
         r"\s+|\\\r?\n",
-        rf"(?P<c>//(?:[^\r\n\\]|\\(?:\r\n|.)?)*+|{_BLOCK})|(?P<p>#(?:[^\r\n\\/]|\\\r?\n|\\.|/(?![*/])|/\*(?:[^*]|\*(?!/))*+\*/)*)|(?P<s>(?:u8|u|U|L)?R\"(?P<raw>[^\s()\\]{{0,16}})\((?:.|\n)*?\)(?P=raw)\"|(?:u8|u|U|L)?{_STRING}|{_CHAR})|(?P<n>{_NUMBER})|(?P<i>[^\W\d]\w*)|(?P<o>{_TWO})",
+        rf"(?P<i>{_IDENT})|(?P<b>{_SIGN})|(?P<c>//(?:[^\r\n\\]|\\(?:\r\n|.)?)*+|{_BLOCK})|(?P<p>#(?:[^\r\n\\/]|\\\r?\n|\\.|/(?![*/])|/\*(?:[^*]|\*(?!/))*+\*/)*)|(?P<s>(?:u8|u|U|L)?R\"(?P<raw>[^\s()\\]{{0,16}})\((?:.|\n)*?\)(?P=raw)\"|(?:u8|u|U|L)?{_STRING}|{_CHAR})|(?P<n>{_NUMBER})|(?P<j>[^\W\d]\w*)|(?P<o>{_TWO})",
     ),
-    "go": _scanner(r"\s+", rf"(?P<c>//[^\r\n]*|{_BLOCK})|(?P<s>{_STRING}|`[^`]*`|{_CHAR})|(?P<n>{_NUMBER})|(?P<i>[^\W\d]\w*)|(?P<o>{_TWO})"),
-    "java": _scanner(r"\s+", rf"(?P<c>//[^\r\n]*|{_BLOCK})|(?P<s>\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*+\"\"\"|{_STRING}|{_CHAR})|(?P<n>{_NUMBER})|(?P<i>[^\W\d][\w$]*)|(?P<o>{_TWO})"),
+    "go": _scanner(r"\s+", rf"(?P<i>[^\W\d]\w*+)|(?P<b>{_SIGN})|(?P<c>//[^\r\n]*|{_BLOCK})|(?P<s>{_STRING}|`[^`]*`|{_CHAR})|(?P<n>{_NUMBER})|(?P<o>{_TWO})"),
+    "java": _scanner(r"\s+", rf"(?P<i>[^\W\d][\w$]*+)|(?P<b>{_SIGN})|(?P<c>//[^\r\n]*|{_BLOCK})|(?P<s>\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*+\"\"\"|{_STRING}|{_CHAR})|(?P<n>{_NUMBER})|(?P<o>{_TWO})"),
     "rs": _scanner(
         r"\s+",
-        rf"(?P<c>//[^\r\n]*|/\*)|(?P<s>[bc]?r(?P<h>#*)\"(?:.|\n)*?\"(?P=h)|[bc]?\"(?:[^\"\\]|\\.)*+\"|b?'(?:[^'\\\r\n]|\\(?:x[\da-fA-F]{{2}}|u\{{[\da-fA-F_]+\}}|.))')|(?P<n>\d[\w]*(?:\.\d\w*)?)|(?P<i>(?:r#)?[^\W\d]\w*)|(?P<t>'[^\W\d]\w*)|(?P<o>{_TWO})",
+        rf"(?P<i>[^\W\d]\w*+(?![\"'#]))|(?P<b>{_SIGN})|(?P<c>//[^\r\n]*|/\*)|(?P<s>[bc]?r(?P<h>#*)\"(?:.|\n)*?\"(?P=h)|[bc]?\"(?:[^\"\\]|\\.)*+\"|b?'(?:[^'\\\r\n]|\\(?:x[\da-fA-F]{{2}}|u\{{[\da-fA-F_]+\}}|.))')|(?P<n>\d[\w]*(?:\.\d\w*)?)|(?P<j>(?:r#)?[^\W\d]\w*)|(?P<t>'[^\W\d]\w*)|(?P<o>{_TWO})",
     ),
-    "js": _scanner(r"\s+", rf"(?P<c>//[^\r\n]*|{_BLOCK})|(?P<s>{_STRING}|{_CHAR})|(?P<q>`)|(?P<n>{_NUMBER})|(?P<i>(?:[^\W\d]|\$)(?:\w|\$)*)|(?P<o>{_TWO})"),
+    "js": _scanner(r"\s+", rf"(?P<i>(?:[^\W\d]|\$)(?:\w|\$)*+)|(?P<b>{_SIGN})|(?P<c>//[^\r\n]*|{_BLOCK})|(?P<s>{_STRING}|{_CHAR})|(?P<q>`)|(?P<n>{_NUMBER})|(?P<o>{_TWO})"),
 }
 _SCANNERS["cpp"] = _SCANNERS["c"]
+#: Comments, strings and brackets alone; ``e`` is a slash that may begin a pattern, or a template.
+_OUTLINES = {
+    "c": _scanner(r"[^/\"'(){}\[\]#RuUL]+|[RuUL](?!\"|8?R?\")|/(?![/*])|(?<=[^\n\r])(?<![\n\r \t])#", rf"(?P<c>//(?:[^\r\n\\]|\\(?:\r\n|.)?)*+|{_BLOCK})|(?P<p>#(?:[^\r\n\\/]|\\\r?\n|\\.|/(?![/*])|/\*(?:[^*]|\*(?!/))*+\*/)*)|(?P<s>(?:u8|u|U|L)?R\"(?P<raw>[^\s()\\]{{0,16}})\((?:.|\n)*?\)(?P=raw)\"|(?:u8|u|U|L)?{_STRING}|{_CHAR})|(?P<b>[(){{}}\[\]])|(?P<x>.)"),
+    "go": _scanner(r"[^/\"'`(){}\[\]]+|/(?![/*])", rf"(?P<c>//[^\r\n]*|{_BLOCK})|(?P<s>{_STRING}|`[^`]*`|{_CHAR})|(?P<b>[(){{}}\[\]])|(?P<x>.)"),
+    "java": _scanner(r"[^/\"'(){}\[\]]+|/(?![/*])", rf"(?P<c>//[^\r\n]*|{_BLOCK})|(?P<s>\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*+\"\"\"|{_STRING}|{_CHAR})|(?P<b>[(){{}}\[\]])|(?P<x>.)"),
+    "js": _scanner(r"[^/\"'`(){}\[\]]+", rf"(?P<c>//[^\r\n]*|{_BLOCK})|(?P<s>{_STRING}|{_CHAR})|(?P<b>[(){{}}\[\]])|(?P<e>[/`])|(?P<x>.)"),
+    "rs": _scanner(r"[^/\"'(){}\[\]rbc]+|[rbc](?![\"'#r])|/(?![/*])|'[^\W\d]\w*+(?!')", rf"(?P<c>//[^\r\n]*)|(?P<e>/\*)|(?P<s>[bc]?r(?P<h>#*)\"(?:.|\n)*?\"(?P=h)|[bc]?\"(?:[^\"\\]|\\.)*+\"|b?'(?:[^'\\\r\n]|\\(?:x[\da-fA-F]{{2}}|u\{{[\da-fA-F_]+\}}|.))')|(?P<b>[(){{}}\[\]])|(?P<x>.)"),
+}
+_OUTLINES["cpp"] = _OUTLINES["c"]
+#: Kinds of tokens that have two groups in a pattern.
+_SAME = {"j": "i"}
 _REGEX = re.compile(r"/(?![*/])(?:[^/\\\[\r\n]|\\[^\r\n]|\[(?:[^\]\\\r\n]|\\[^\r\n])*\])+/[A-Za-z]*")
 _TEMPLATE = re.compile(r"(?:[^`\\$]|\\.|\$(?!\{))*+(`|\$\{)", re.S)
 
@@ -179,10 +192,10 @@ def scan(family: str, text: str) -> tuple[Tokens, list[tuple[int, int]]]:
     # Where no token depends on what stands before it, the pattern's matches are the tokens.
     if family in ("go", "java", "c", "cpp") or family == "rs" and "/*" not in text or family == "js" and "`" not in text:
         found = [*_SCANNERS[family].finditer(text)]
-        kinds = [m.lastgroup for m in found]
-        strings = [m[k] for m, k in zip(found, kinds)]
+        kinds = [_SAME.get(k := m.lastgroup, k) for m in found]
+        strings = [m[m.lastgroup] for m in found]
         if family != "js" or "/" not in strings:
-            offsets = [m.start(k) for m, k in zip(found, kinds)]
+            offsets = [m.start(m.lastgroup) for m in found]
             comments = [(o, o + len(c)) for k, c, o in zip(kinds, strings, offsets) if k == "c"]
             kept = [i for i, k in enumerate(kinds) if k != "c" and k != "z"]
             return Tokens([kinds[i] for i in kept], [strings[i] for i in kept], [offsets[i] for i in kept], _RESERVED[family]), comments
@@ -216,12 +229,12 @@ def _scan(family: str, text: str) -> tuple[Tokens, list[tuple[int, int]]]:
             if kind == "l":
                 if depth or not kinds or kinds[-1] == "l":
                     continue
-            elif kind == "o":
+            elif kind == "o" or kind == "b":
                 if s in "([{":
                     depth += 1
                 elif s in ")]}":
                     depth = max(0, depth - 1)
-                elif script and s == "/" and (not kinds or strings[-1] in reserved or kinds[-1] == "o" and strings[-1] not in (")", "]", "}")):
+                elif script and s == "/" and (not kinds or strings[-1] in reserved or kinds[-1] in "ob" and strings[-1] not in (")", "]", "}")):
                     r = _REGEX.match(text, m.start(kind))
                     if r:
                         kinds.append("s")
@@ -236,7 +249,7 @@ def _scan(family: str, text: str) -> tuple[Tokens, list[tuple[int, int]]]:
                 offsets.append(m.start(kind))
                 break
             offsets.append(m.start(kind))
-            kinds.append(kind)
+            kinds.append("i" if kind == "j" else kind)
             strings.append(s)
         if again is None:
             break
@@ -287,14 +300,81 @@ class _Comments:
 def functions(extension: str, text: str, documented: bool = False) -> Iterator[tuple[str, int, int, int, str | None, set[str]]]:
     """(name, line of the name, start, end, documentation or None, parameters) of the functions with a body; with ``documented``, only those that begin behind a comment or may have a docstring."""
     family = _FAMILY[extension]
+    if documented and family != "py":
+        coarse = _outline(family, text)
+        if coarse is not None:
+            spans, close = coarse
+            comments, named = _Comments(text, spans), set()
+            for n, (_, b) in enumerate(spans):
+                if n + 1 < len(spans) and not text[b : spans[n + 1][0]].strip():
+                    continue  # the run of comments goes on
+                yield from _found(family, text, _window(family, text, b, close), comments, {0}, named)
+            return
     tokens, spans = scan(family, text)
+    behind = {bisect_left(tokens.offsets, b) for _, b in spans} if documented and family != "py" else None
+    yield from _found(family, text, tokens, _Comments(text, spans), behind, set())
+
+
+def _outline(family: str, text: str) -> tuple[list[tuple[int, int]], dict[int, int]] | None:
+    """Spans of comments and closing offsets of brackets, without the tokens between; None where those matter (a JavaScript slash)."""
+    spans, close, stack = [], {}, []
+    for m in _OUTLINES[family].finditer(text):
+        kind = m.lastgroup
+        if kind == "b":
+            at = m.end() - 1
+            if text[at] in "([{":
+                stack.append(at)
+            elif stack:
+                close[stack.pop()] = at
+        elif kind == "c":
+            spans.append(m.span(kind))
+        elif kind == "e":
+            return None
+    return spans, close
+
+
+def _window(family: str, text: str, at: int, close: dict[int, int]) -> Tokens:
+    """Tokens from an offset to the body of what may be defined there; a body is only its brackets."""
+    kinds, strings, offsets = [], [], []
+    depth, pattern, going = 0, _SCANNERS[family], True
+    while going:
+        going = False
+        for m in pattern.finditer(text, at):
+            kind = m.lastgroup
+            if kind == "c":
+                continue
+            if kind in ("z", "q", "l"):
+                break
+            s = m[kind]
+            if kinds and strings[-1] == "}" and not depth and s not in ("{", ",", "=>"):
+                break
+            kinds.append(_SAME.get(kind, kind))
+            strings.append(s)
+            offsets.append(m.start(kind))
+            if s in ("(", "["):
+                depth += 1
+            elif s in (")", "]"):
+                depth -= 1
+            elif s == "{" and not depth:
+                end = close.get(offsets[-1])
+                if end is not None:
+                    kinds.append(kind)
+                    strings.append("}")
+                    offsets.append(end)
+                    at, going = end + 1, True
+                break
+            elif s == ";" and not depth or depth < 0 or len(kinds) > 2000:
+                break
+    return Tokens(kinds, strings, offsets, _RESERVED[family])
+
+
+def _found(family: str, text: str, tokens: Tokens, comments: _Comments, behind: set[int] | None, named: set[int]) -> Iterator[tuple[str, int, int, int, str | None, set[str]]]:
+    """Definitions among tokens; with ``behind``, only those that begin at these. ``named`` holds the offsets of names found."""
     peg = _peg(family)
-    comments = _Comments(text, spans)
     strings, kinds, offsets = tokens.strings, tokens.kinds, tokens.offsets
     anywhere = {"py": {"def", "async", "@"}, "js": {"function"}, "go": {"func"}, "rs": {"fn"}}.get(family, set())
     begin = {";", "{", "}", None} | ({",", ")", "(", "=", ":", "]"} if family == "js" else {")", "]", ">", ":"} if family == "cpp" else {")", "]"} if family in ("java", "rs") else set())
-    behind = {bisect_left(offsets, b) for _, b in spans} if documented and family != "py" else None
-    i, n, named = 0, len(strings), set()
+    i, n = 0, len(strings)
     while i < n:
         if behind is not None and i not in behind:
             i += 1
@@ -312,10 +392,10 @@ def functions(extension: str, text: str, documented: bool = False) -> Iterator[t
         end, kept = found
         at = {label: (a, b) for label, a, b in kept}
         name = at["name"][0]
-        if name in named or "params" not in at:
+        if offsets[name] in named or "params" not in at:
             i += 1
             continue
-        named.add(name)
+        named.add(offsets[name])
         core = at["core"][0]
         doc = None
         if "doc" in at:
@@ -334,12 +414,12 @@ def functions(extension: str, text: str, documented: bool = False) -> Iterator[t
         if family == "py":
             last = min(n - 1, end)
         shown = strings[name] if kinds[name] != "o" else "operator"
-        yield shown, comments.line(offsets[name]), offsets[i], offsets[last] + len(strings[last]), doc, _parameters(family, extension, tokens, *at["params"])
+        yield shown, comments.line(offsets[name]), offsets[i], offsets[last] + len(strings[last]), doc, _parameters(family, tokens, *at["params"])
         # Functions inside others count; a C function holds none.
         i = end if family == "c" else name + 1
 
 
-def _parameters(family: str, extension: str, tokens: Tokens, a: int, b: int) -> set[str]:
+def _parameters(family: str, tokens: Tokens, a: int, b: int) -> set[str]:
     """Names of parameters, lower case."""
     strings, kinds, out = tokens.strings, tokens.kinds, set()
     for k in range(a, b):

@@ -19,6 +19,8 @@ import re
 from collections.abc import Iterable
 
 END = "\x03"
+#: Characters from here on stand for folded bracket pairs.
+FOLDED = "\U000f0000"
 #: Entries of a memo after which it is dropped.
 MEMO = 200_000
 
@@ -54,6 +56,8 @@ class Grammar:
         self._folded: dict[tuple, str] = {}
         self._fits: dict[str, tuple[str, dict[int, int]]] = {}
         self._memo: dict = {}
+        self._seen: tuple = (None, [])
+        self._parts: dict[str, list[str]] = {}
         for block in re.split(r"\n(?=\w+ ?::? )", text.strip()):
             name, kind, body = re.match(r"\s*(\w+) ?(::?) (.*)", block, re.S).groups()
             if kind == "::":
@@ -195,9 +199,10 @@ class Grammar:
     def recognise(self, start: int, text: str, mask: int | None = None) -> int:
         """The dialects in which ``text`` derives from ``start``, as a mask."""
         fits, predicted, always, alternatives, masks = self._fits, self.predicted, self.always, self.alternatives, self.masks
-        look = [fits[c][0] if c in fits else c for c in text]
-        n = len(look)
-        look.append("")
+        if text is not self._seen[0]:  # often one content is held against several nonterminals
+            self._seen = text, [*[fits[c][0] if c >= FOLDED else c for c in text], ""]
+        look = self._seen[1]
+        n = len(text)
         # A stack node: edges to return to, positions at which it ended, dialects it began in.
         root = ({}, {}, [0])
         stack = {(start, 0): root}
@@ -273,13 +278,21 @@ class Grammar:
         if item is None:
             return self._known(start, text + END if start in self._ended else text)
         mask = self.all
-        for part in dict.fromkeys(segments(text)):
+        parts = self._parts.get(text)
+        if parts is None:
+            self._parts = {text: (parts := [*dict.fromkeys(segments(text))])}
+        for part in parts:
             mask &= self._known(item, part)
             if not mask:
                 break
         return mask
 
     def _known(self, start: int, text: str) -> int:
+        first = text[:1]
+        if first >= FOLDED:
+            first = self._fits[first][0]
+        if first not in self.predicted[start] and not self.always[start]:
+            return 0
         key = (start, text)
         found = self._memo.get(key)
         if found is None:
