@@ -58,10 +58,14 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores.
 
     A file with one row group is one task whatever the number of cores. Rows are dealt out round
-    robin only in that case; otherwise the scan's own partitions stay and nothing is shuffled.
+    robin only in that case; otherwise the scan's own partitions stay and nothing is shuffled. A plan
+    with exchanges is left as it is: its partitions are known only once they ran.
     """
+    execution = df._jdf.queryExecution()
+    if "Adaptive" in execution.executedPlan().getClass().getSimpleName():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    parts = execution.toRdd().getNumPartitions()
     return df if parts >= cores else df.repartition(cores)
 
 
