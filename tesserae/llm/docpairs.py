@@ -300,7 +300,10 @@ class _Comments:
 def functions(extension: str, text: str, documented: bool = False) -> Iterator[tuple[str, int, int, int, str | None, set[str]]]:
     """(name, line of the name, start, end, documentation or None, parameters) of the functions with a body; with ``documented``, only those that begin behind a comment or may have a docstring."""
     family = _FAMILY[extension]
-    if documented and family != "py":
+    if family == "py":
+        yield from _python(text)
+        return
+    if documented:
         coarse = _outline(family, text)
         if coarse is not None:
             spans, close = coarse
@@ -311,10 +314,83 @@ def functions(extension: str, text: str, documented: bool = False) -> Iterator[t
                 yield from _found(family, text, _window(family, text, b, close), comments, {0}, named)
             return
     tokens, spans = scan(family, text)
-    behind = {bisect_left(tokens.offsets, b) for _, b in spans} if documented and family != "py" else None
+    behind = {bisect_left(tokens.offsets, b) for _, b in spans} if documented else None
     yield from _found(family, text, tokens, _Comments(text, spans), behind, set())
 
 
+_PY_OUTLINE = re.compile(
+    r"[^#\"'()\[\]{}@\w]*+(?:(?P<c>#[^\r\n]*)|(?P<s>(?i:[rbuft]{0,3})(?:\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*+'''|\"(?!\"\")(?:[^\"\\\r\n]|\\(?:\r\n|.))*+\"|'(?!'')(?:[^'\\\r\n]|\\(?:\r\n|.))*+'))"
+    r"|(?P<d>(?:async|def)\b)|\w++(?:[^#\"'()\[\]{}@\w]++\w++(?![\"']))*+|(?P<b>[()\[\]{}])|(?P<a>@)|.)",
+    re.S,
+)
+_PY_WORDS = re.compile(r"\b(?:async|def)\b")
+_PY_MARGIN = re.compile(r"(?:^|[\r\n;:])[ \t\f]*\Z")
+
+
+def _python(text: str) -> Iterator[tuple[str, int, int, int, str | None, set[str]]]:
+    """Python's functions: tokens from each decorator or ``def`` that begins a line to the first statement behind the header."""
+    spans, strings, anchors, depth = [], [], [], 0
+    for m in _PY_OUTLINE.finditer(text):
+        kind = m.lastgroup
+        if kind is None:  # words, of which some may define
+            if not depth:
+                anchors += [w.start() for w in _PY_WORDS.finditer(text, m.start(), m.end())]
+            continue
+        at = m.start(kind)
+        if kind == "c":
+            spans.append(m.span(kind))
+        elif kind == "s":
+            strings.append(m.span(kind))
+        elif kind == "b":
+            depth = depth + 1 if text[at] in "([{" else max(0, depth - 1)
+        elif not depth:
+            anchors.append(at)
+    comments, named, begun = _Comments(text, spans), set(), [a for a, _ in strings]
+    for at in anchors:
+        if _PY_MARGIN.search(text, max(0, at - 400), at) is None:
+            continue
+        for name, line, start, end, doc, parameters in _found("py", text, _python_window(text, at), comments, {0}, named):
+            indent = start - (max(text.rfind("\n", 0, start), text.rfind("\r", 0, start)) + 1)
+            stop = len(text)
+            for m in re.compile(rf"[\r\n][ \t]{{0,{indent}}}(?=[^\s#])").finditer(text, end):
+                k = bisect_right(begun, m.start()) - 1
+                if k < 0 or strings[k][1] <= m.start():  # a line within a string ends no function
+                    stop = m.start()
+                    break
+            yield name, line, start, start + len(text[start:stop].rstrip()), doc, parameters
+
+
+def _python_window(text: str, at: int) -> Tokens:
+    """Tokens from a decorator or ``def`` to the token behind the docstring, or to the first of the body."""
+    kinds, strings, offsets = [], [], []
+    depth, header, body = 0, False, False
+    for m in _SCANNERS["py"].finditer(text, at):
+        kind = m.lastgroup
+        if kind == "c":
+            continue
+        if kind == "z":
+            break
+        s = m[kind]
+        if kind == "l" and (depth or not kinds or kinds[-1] == "l"):
+            continue
+        kinds.append(_SAME.get(kind, kind))
+        strings.append(s)
+        offsets.append(m.start(kind))
+        if s in ("(", "[", "{"):
+            depth += 1
+        elif s in (")", "]", "}"):
+            depth -= 1
+        if body and kind not in ("l", "s") or depth < 0:
+            break
+        if s == "def":
+            header = True
+        elif s == ":" and not depth:
+            body = header
+            if not header:  # a line that only begins like a definition
+                break
+    return Tokens(kinds, strings, offsets, _RESERVED["py"])
+
+
 def _outline(family: str, text: str) -> tuple[list[tuple[int, int]], dict[int, int]] | None:
     """Spans of comments and closing offsets of brackets, without the tokens between; None where those matter (a JavaScript slash)."""
     spans, close, stack = [], {}, []
@@ -411,8 +487,6 @@ def _found(family: str, text: str, tokens: Tokens, comments: _Comments, behind:
                     doc = text[run[0] : run[1]]
                     break
         last = end - 1
-        if family == "py":
-            last = min(n - 1, end)
         shown = strings[name] if kinds[name] != "o" else "operator"
         yield shown, comments.line(offsets[name]), offsets[i], offsets[last] + len(strings[last]), doc, _parameters(family, tokens, *at["params"])
         # Functions inside others count; a C function holds none.
