@@ -908,67 +908,66 @@ def script_languages() -> dict[str, Language]:
     def scan(text: str, at: int, inside: bool, out: list[str]) -> int | None:
         """Tokens from ``at`` on; inside a template up to its closing brace. None if a token cannot be formed."""
         brackets: list[str] = []
-        fresh = False
-        last = len(text)
-        while at < last:
-            m = pattern.match(text, at)
-            kind = m.lastgroup
-            if kind == "z":
-                break
-            at = m.end()
-            if kind == "l":
-                fresh = fresh or "\n" in m[kind] or "\r" in m[kind]
-                continue
-            if kind == "i":
-                c = words.get(m[kind], identifier)
-                if out and out[-1] in property_signs and c != identifier and c not in decorator_only:
-                    c = word_after_dot
-            elif kind == "s":
-                c = string
-            elif kind == "n":
-                c = number
-            elif kind == "t":
-                end = skip_template(text, at)
-                if end is None:
-                    return None
-                at, c = end, template
-            elif kind == "p":
-                c = private
-            elif kind == "d":
-                c = decorator
-            elif kind == "e":
-                return None
-            else:
-                c = literal[m[kind]]
-                if m[kind] in ("/", "/=") and not (out and out[-1] in values and out[-1] not in prefix_words):
-                    r = regex.match(text, m.start(kind))
-                    if r is None:
+        fresh, before, again = False, out[-1] if out else "", True
+        while again:
+            again = False
+            for m in pattern.finditer(text, at):
+                kind = m.lastgroup
+                if kind == "l":
+                    fresh = fresh or "\n" in m[kind] or "\r" in m[kind]
+                    continue
+                if kind == "i":
+                    c = words.get(m[kind], identifier)
+                    if c != identifier and before in property_signs:
+                        c = identifier
+                elif kind == "o":
+                    s = m[kind]
+                    c = literal[s]
+                    if (s == "/" or s == "/=") and (before not in values or before in prefix_words):
+                        r = regex.match(text, m.start(kind))
+                        if r is None:
+                            return None
+                        at, c, again = r.end(), regular, True
+                elif kind == "s":
+                    c = string
+                elif kind == "n":
+                    c = number
+                elif kind == "z":
+                    break
+                elif kind == "t":
+                    end = skip_template(text, m.end())
+                    if end is None:
                         return None
-                    at, c = r.end(), regular
-            if fresh and out and (not brackets or brackets[-1] == "{"):
-                before = out[-1]
-                if before in restricted or before in values and c not in going_on and not (c == "{" and before == ")") and c != "}" and not (c == "{" and before in (identifier,)):
-                    out.append(stop)
-            fresh = False
-            if c in "([{":
-                brackets.append(c)
-            elif c in ")]}":
-                if not brackets:
-                    if inside and c == "}":
-                        return at
-                    return None
-                brackets.pop()
-            if c == decorator and text[at : at + 1] == "(":  # its arguments belong to it
-                end = skip_brackets(text, at)
-                if end is None:
+                    at, c, again = end, template, True
+                elif kind == "p":
+                    c = private
+                elif kind == "d":
+                    c = decorator
+                    if text[m.end() : m.end() + 1] == "(":  # its arguments belong to it
+                        end = skip_brackets(text, m.end())
+                        if end is None:
+                            return None
+                        at, again = end, True
+                else:
                     return None
-                at = end
-            out.append(c)
-        return None if inside else at
+                if fresh:
+                    fresh = False
+                    if before and (not brackets or brackets[-1] == "{") and (before in restricted or before in values and c not in going_on and c != "}" and not (c == "{" and before in opens_block)):
+                        out.append(stop)
+                if c in "([{":
+                    brackets.append(c)
+                elif c in ")]}":
+                    if not brackets:
+                        return m.end() if inside and c == "}" else None
+                    brackets.pop()
+                out.append(c)
+                before = c
+                if again:
+                    break
+        return None if inside else len(text)
 
     property_signs = frozenset({char("."), char("?.")})
-    decorator_only = frozenset()
-    word_after_dot = identifier
+    opens_block = frozenset({")", identifier})
 
     def skip_template(text: str, at: int) -> int | None:
         """End of a template; what it embeds is recognised as an expression."""
