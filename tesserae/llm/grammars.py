@@ -315,7 +315,7 @@ Unary : (PREFIX | '-' | '+' | 'typeof' | 'void' | 'await' | '!')* Postfix | @ts
 Postfix : Left ('++' | '--')?
 Left : Start Suffix*
 Start : ID | NUM | STR | TEMPLATE | REGEX | 'this' | 'super' | 'null' | 'true' | 'false' | 'undefined' | (:Expr:) | [:Elements:] | {:Pairs:} | 'async'? 'function' '*'? ID? TypeParams? (:Params:) Result? {:Block:} | DECORATOR* 'class' ID? TypeParams? ('extends' Heritage)? Implements? {:Members:}
- | 'new' Left | 'new' '.' ID | 'import' (:Arguments:) | 'import' '.' ID | PRIVATE | @jsx MARKUP
+ | 'new' Left | 'new' '.' ID | 'import' (:Arguments:) | 'import' '.' ID | PRIVATE
 Suffix : ('.' | '?.') (ID | WORD | PRIVATE) | '?.'? [:Expr:] | '?.'? (:Arguments:) | TEMPLATE | @ts '!' | @ts TypeArgs (:Arguments:) | @ts TypeArgs TEMPLATE
 Arguments : (Argument (',' Argument)* ','?)?
 Argument : '...'? Assignment
@@ -886,7 +886,7 @@ def script_languages() -> dict[str, Language]:
     operators = _words("/ % ^ << == != === !== <= && || ?? ** ")
     assign = _words("+= -= *= /= %= &= |= ^= <<= **= &&= ||= ??=")
     classes = {"ID": [*soft_js, *soft_ts], "OPERATOR": operators, "ASSIGN": assign, "PREFIX": _words("~ ++ -- delete"), "ACCESS": access}
-    grammar = Grammar(JAVASCRIPT, ["js", "ts", "jsx"], {**classes, "WORD": [*keywords, *soft_js, *soft_ts, *access, "PREFIX", "ACCESS"]}, ["Cases"])
+    grammar = Grammar(JAVASCRIPT, ["js", "ts"], {**classes, "WORD": [*keywords, *soft_js, *soft_ts, *access, "PREFIX", "ACCESS"]}, ["Cases"])
     char = grammar.alphabet.char
     literal = _literals(grammar)
     words = {t: c for t, c in literal.items() if re.match(r"[\w$]", t)}

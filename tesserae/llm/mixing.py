@@ -130,7 +130,7 @@ def mix(sizes: DataFrame, weights: DataFrame, seed: int = 11) -> DataFrame:
     by_range = part.groupBy("source", "range").agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"))
     running = by_range.withColumn("until", F.sum("n").over(Window.partitionBy("source").orderBy("range")))
     edge = running.select("source", "range", (F.col("until") - F.col("n")).alias("before"), (F.col("until") <= F.col("rest")).alias("all"))
-    placed = part.join(F.broadcast(edge), ["source", "range"])
+    placed = part.join(edge, ["source", "range"])
     full = placed.filter("all")
     cut_range = placed.filter("not all and before < rest").withColumn("sum", F.col("before") + F.sum("tokens").over(Window.partitionBy("source", "range").orderBy("place", "id")))
     columns = ["id", "source", "tokens", "pass_no", "place"]
