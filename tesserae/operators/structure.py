@@ -231,6 +231,8 @@ def _scope(tokens: list[Token], start: int, end: int, family: str, trivia: dict,
             until = tokens[tokens[a + 1].close].end_row
             trivia[until] = (tokens[a].row, until)
             a = tokens[a + 1].close + 1
+        while family == "cpp" and tokens[a].text in ("public", "private", "protected") and a + 2 < b and tokens[a + 1].text == ":":
+            a += 2  # an access label is no part of what follows it
         members = _scope(tokens, body + 1, tokens[body].close, family, trivia, kind != "namespace") if kind in ("container", "namespace") and body is not None and tokens[body].close >= 0 else []
         out.append(Definition(tokens[a].row, tokens[b - 1].end_row, name, members))
     return sorted(out, key=lambda d: d.start)
