@@ -189,6 +189,9 @@ def with_vectors(df: DataFrame, key: str, text: str, config: EmbeddingConfig) ->
         return df.join(hashed_vectors(df.select(key, text), key, text, config.dim), key)
     from dataclasses import replace
 
+    from tesserae.plans.runtime import ensure_importable
+
+    ensure_importable(df.sparkSession)
     plain = replace(config, api_key=None)
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,8 +16,22 @@ from pyspark.sql.window import Window
 BROADCAST_BYTES = 64 << 20
 
 
+def ensure_importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    That covers local sessions and clusters with a shared folder; elsewhere the package is shipped with
+    ``--py-files`` as any other.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *known])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir``."""
+    ensure_importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -61,6 +75,7 @@ def spread(df: DataFrame) -> DataFrame:
     robin only in that case; otherwise the scan's own partitions stay and nothing is shuffled. A plan
     with exchanges is left as it is: its partitions are known only once they ran.
     """
+    ensure_importable(df.sparkSession)
     execution = df._jdf.queryExecution()
     if "Adaptive" in execution.executedPlan().getClass().getSimpleName():
         return df

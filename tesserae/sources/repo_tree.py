@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tesserae.operators.rules import IGNORED_DIRS
+from tesserae.plans.runtime import ensure_importable
 
 _ARROW = pa.schema([("rel_path", pa.string()), ("content", pa.binary()), ("n_bytes", pa.int64()), ("error", pa.string())])
 
@@ -74,5 +75,6 @@ class RepoTree(DataSource):
 
 def read_tree(spark: SparkSession, root: str, files_per_partition: int = 256) -> DataFrame:
     """The files of a tree; unreadable ones have an error instead of content."""
+    ensure_importable(spark)
     spark.dataSource.register(RepoTree)
     return spark.read.format("repo_tree").option("path", root).option("filesPerPartition", str(files_per_partition)).load()
