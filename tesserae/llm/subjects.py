@@ -219,7 +219,7 @@ def subject_models(documents: DataFrame, subjects: DataFrame, labels: DataFrame)
     others = rows.select("id").join(F.broadcast(some.select("id")), "id", "left_anti").select("id", F.xxhash64(F.lit(2), "id").alias("o")).orderBy("o", "id").limit(max(1, UNLABELLED - len(texts))).select("id")
     unlabelled = [sentences(r["text"]) for r in rows.join(F.broadcast(others), "id").select("text").collect()]
     seen = Counter(g for *_, prose, columns in [*labelled, *unlabelled] for sentence in [*prose, *columns] for g in grams(sentence))
-    keys = [g for g, n in seen.items() if n > 1]
+    keys = list(seen)  # also what was seen once: the models hold it, and it may be frequent elsewhere
     shared = documents.sparkSession.sparkContext.broadcast({g: i for i, g in enumerate(keys)})
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
