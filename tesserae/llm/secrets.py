@@ -60,26 +60,33 @@ _PLACEHOLDER = re.compile(
 _REFERENCE = re.compile(r"(?:\$\w+|%\w+%|[\w.]*(?:environ|getenv|process\.env|config|settings|vault|secrets?|env|options?|args|self|this|params?|request|ctx|context)(?:\.|\[|\().*|.*\(.*\).*|@\w+|\w+(?:\.\w+)*\[.*\]|(?:ref|vault|arn|file|env|secret|keychain):.*)", re.S)
 _UUID = re.compile(r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
 
-_KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?P<body>.{0,12000}?)-----END", re.S)
-_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]{1,20}:/{1,2}(?P<user>[^\s:/@'\"<>]{0,80}):(?P<value>[^\s/@'\"<>]{3,200})@[\w.\-\[{$]")
-_HEADER = re.compile(r"(?i)(?:authorization|auth|x-[\w\-]*(?:auth|token|key|secret)[\w\-]*)['\"]?\s{0,3}[:=,]\s{0,3}(?:\w{0,6}['\"])?\s*(?:(?:bearer|basic|token|digest|apikey|key)\s+)?(?P<value>[^\s'\"`,;)]{6,400})")
+_MARK = re.compile(r"-----(?:BEGIN (?P<label>[A-Z0-9 ]+)-----|END(?: [A-Z0-9 ]+-----)?)")
+_PRIVATE = re.compile(r"(?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?")
+#: Between marks this far apart there is a key only if nothing else stands there.
+_FAR = 12_000
+_KEY_BODY = re.compile(r"[A-Za-z0-9+/=\s\\\"'`,.:()@<>\-]*+")
+#: What tells a long token from data: three to five parts with a JSON header, or a prefix that names its issuer.
+_LONG_TOKEN = re.compile(r"ey[JK][\w\-]++(?:\.[\w\-]*+){2,4}=*|[A-Za-z][A-Za-z0-9]{1,11}[\-_.][\w.\-+/]++=*")
+_URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]{1,20}:/{1,2}(?P<user>[^\s:/@'\"<>]*+):(?P<value>[^\s/@'\"<>]{3,}+)@[\w.\-\[{$]")
+_HEADER = re.compile(r"(?i)(?:authorization|auth|x-[\w\-]*(?:auth|token|key|secret)[\w\-]*)['\"]?\s{0,3}[:=,]\s{0,3}(?:\w{0,6}['\"])?\s*(?:(?:bearer|basic|token|digest|apikey|key)\s+)?(?P<value>[^\s'\"`,;)]{6,}+)")
 _ASSIGN = re.compile(
     r"(?<![\w.\-$])(?P<name>[A-Za-z_$][\w.\-$]*+)(?P<mid>['\"`]?\]?(?:[ \t]*:[ \t]*[\w&'<>\[\]?* \t.]{1,40}?(?==))?[ \t]{0,8}(?::=|=>|==?|:|<-)(?:[ \t]{0,8}|\s{1,40}(?=[\"'`]))(?:[rbufRBL@$]{0,2}|String\(|new String\(|std::string\(|&)?)(?P<open>[(\[]\s{0,40}(?=[\"'`]))?"
-    r"(?:(?P<q>\"\"\"|'''|[\"'`])(?P<quoted>(?:(?!(?P=q))[^\\\r\n]|\\.){3,600}?)(?P=q)|(?P<bare>[^\s'\"`,;(){}\[\]<>]{4,600}))"
+    r"(?:(?P<q>\"\"\"|'''|[\"'`])(?P<quoted>(?:(?!(?P=q))[^\\\r\n]|\\.){3,}?)(?P=q)|(?P<bare>[^\s'\"`,;(){}\[\]<>]{4,}+))"
 )
-_NEXT_LITERAL = re.compile(r"\s{0,40}(?:\+|\.\.?|\\|,)?\s{0,40}(?P<q>[\"'`])(?P<value>[^\"'`\r\n]{1,300})(?P=q)")
-_OPTION = re.compile(r"(?<![\w-])--?(?P<name>[A-Za-z][\w\-]*)(?:=|\s+)(?P<q>['\"]?)(?P<value>[^\s'\"`]{4,400})(?P=q)")
-_BASIC = re.compile(r"(?:\s-u|--user)\s*[= ]?\s*['\"]?(?P<user>[\w.\-]+):(?P<value>[^\s'\"`@]{4,200})")
-_QUERY = re.compile(r"[?&;](?P<name>[\w.\-]{2,40})=(?P<value>[^\s&#'\"`<>;]{4,400})")
+_NEXT_LITERAL = re.compile(r"\s{0,40}(?:\+|\.\.?|\\|,)?\s{0,40}(?P<q>[\"'`])(?P<value>[^\"'`\r\n]++)(?P=q)")
+_OPTION = re.compile(r"(?<![\w-])--?(?P<name>[A-Za-z][\w\-]*)(?:=|\s+)(?P<q>['\"]?)(?P<value>[^\s'\"`]{4,}+)(?P=q)")
+_BASIC = re.compile(r"(?:\s-u|--user)\s*[= ]?\s*['\"]?(?P<user>[\w.\-]+):(?P<value>[^\s'\"`@]{4,}+)")
+_QUERY = re.compile(r"[?&;](?P<name>[\w.\-]{2,40})=(?P<value>[^\s&#'\"`<>;]{4,}+)")
 _REMARK = re.compile(
     r"(?i)\b(?:pass(?:word|wd|phrase|code)?|pw|pwd|secret|token|credentials?|creds?|log[- ]?in|sign[- ]?in|(?:api |old |new |signing |access |master |private )?key|rotation|pin)\b[ :,](?P<rest>[^\n\r'\"`=(]{6,160})"
 )
-_REMARK_VALUE = re.compile(r"(?<![^\s/:,(<])[^\s,;()<>\[\]/]{8,300}")
-_NAME_REMARK = re.compile(r"(?i)(?:pass(?:word|wd|phrase|code)?|pw|pwd|secret|token|credential|api[_\-]?key)[_\-](?:is|was)[_\-](?P<value>[^\s/?&]{4,200})")
-_CALL = re.compile(r"(?<![\w.:])(?P<name>[A-Za-z_][\w.:]*+)\s?\((?P<args>[^()]{4,600})\)")
+_REMARK_VALUE = re.compile(r"(?<![^\s/:,(<])[^\s,;()<>\[\]/]{8,}+")
+_NAME_REMARK = re.compile(r"(?i)(?:pass(?:word|wd|phrase|code)?|pw|pwd|secret|token|credential|api[_\-]?key)[_\-](?:is|was)[_\-](?P<value>[^\s/?&]{4,}+)")
+_CALL = re.compile(r"(?<![\w.:])(?P<name>[A-Za-z_][\w.:]*+)\s?\((?P<args>[^()]{4,}+)\)")
 _CALL_NAMES = re.compile(r"(?i)(?:^|[._:])\w*?(?:connect|log_?in|sign(?:_?with|_?in)?|auth\w*|open_?pool|set_?header|password|credential|token|unlock|decrypt|session|pool|api_?key|set_?secret)\w*$")
-_ARGUMENT = re.compile(r"(?P<q>[\"'`])(?P<value>(?:(?!(?P=q))[^\\\r\n]|\\.){1,400})(?P=q)")
-_LITERAL_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_\-.])(?P<value>[A-Za-z0-9_][A-Za-z0-9_\-.+/]{%d,600}=*)" % (LONG - 1))
+_ARGUMENT = re.compile(r"(?P<q>[\"'`])(?P<value>(?:(?!(?P=q))[^\\\r\n]|\\.)+)(?P=q)")
+_LITERAL_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_\-.])(?P<value>[A-Za-z0-9_][A-Za-z0-9_\-.+/]{%d,}+=*)" % (LONG - 1))
+_REST_OF_WORD = re.compile(r"[^\s'\"`=(]*+")
 _PROGRESS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*|\d+")
 
 
@@ -177,19 +184,35 @@ def _bulk(text: str, start: int, end: int) -> bool:
     return bool(run.fullmatch(above) or run.fullmatch(below))
 
 
+def _blocks(text: str, label: re.Pattern) -> list[tuple[int, int, re.Match, int]]:
+    """(start, end, BEGIN mark, start of the END mark) of armoured blocks: from a BEGIN with such a label to the next END."""
+    out, begun = [], []
+    for m in _MARK.finditer(text) if "-----" in text else ():
+        if m["label"] is not None:
+            if label.fullmatch(m["label"]):
+                begun.append(m)
+            continue
+        for b in begun:
+            if m.start() - b.end() <= _FAR or _KEY_BODY.fullmatch(text, b.end(), m.start()):
+                out.append((b.start(), m.end(), b, m.start()))
+                break
+        begun = []
+    return out
+
+
 def find_secrets(text: str) -> list[Finding]:
     """Credentials of a text, in order, without overlaps; a value in pieces is found at its first piece."""
     found: list[Finding] = []
-    blocks = [(m.start(), m.end()) for m in re.finditer(r"-----BEGIN [A-Z0-9 ]+-----.{0,12000}?-----END [A-Z0-9 ]+-----", text, re.S)]
+    blocks = [(a, b) for a, b, *_ in _blocks(text, re.compile(".+"))]
 
     def add(start: int, end: int, kind: str) -> None:
         if not any(a <= start < b for a, b in blocks):
             found.append(Finding(start, end, kind))
 
-    for m in _KEY_BLOCK.finditer(text):
-        body = re.sub(r"\\[nrt]|[^A-Za-z0-9+/=]", "", m["body"])
-        if len(body) >= 40 and not _PLACEHOLDER.search(m["body"][:200]) and len(set(body)) > 12:
-            found.append(Finding(m.start(), m.end(), "private key"))
+    for start, _, mark, end in _blocks(text, _PRIVATE):
+        body = re.sub(r"\\[nrt]|[^A-Za-z0-9+/=]", "", text[mark.end() : end])
+        if len(body) >= 40 and not _PLACEHOLDER.search(text[mark.end() : min(end, mark.end() + 200)]) and len(set(body)) > 12:
+            found.append(Finding(start, end + len("-----END"), "private key"))
     for m in _URL.finditer(text):
         value = m["value"]
         if not _PLACEHOLDER.search(value) and not value.startswith(("$", "%", "{", "<")) and not _REFERENCE.fullmatch(value) and value.lower() not in ("password", "pass", "passwd", "secret", "token", "pw", "user", "pwd") and len(set(value)) > 2:
@@ -222,7 +245,7 @@ def find_secrets(text: str) -> list[Finding]:
             value = value[header.end() :]
         else:
             start = m.start(which)
-        if plausible(value):
+        if plausible(value) and not (len(value) > 600 and re.search(r"\s", value)):  # so long with blanks is a text
             add(start, end, "assignment")
     for m in _CALL.finditer(text):
         if _CALL_NAMES.search(m["name"]):
@@ -237,7 +260,7 @@ def find_secrets(text: str) -> list[Finding]:
                 elif len(value) > 7 and plausible(value) and re.fullmatch(r"[A-Za-z]{3,}[.][A-Za-z]{3,}\d{2,}", value):
                     add(*span, "call")
     for m in _REMARK.finditer(text):
-        for v in _REMARK_VALUE.finditer(text, m.start("rest"), m.end("rest")):
+        for v in _REMARK_VALUE.finditer(text, m.start("rest"), _REST_OF_WORD.match(text, m.end("rest")).end()):
             value = v[0].rstrip(".:!?")
             shaped = re.fullmatch(r"[A-Za-z]{2,}[\W_]?[A-Za-z]*\d{2,}|\S*[A-Za-z]\d\S*\d\S*", value)
             if shaped and _in_prose(text, m.start()) and plausible(value) and not _REFERENCE.fullmatch(value) and not _benign_context(text, v.start(), v.end()):
@@ -245,7 +268,7 @@ def find_secrets(text: str) -> list[Finding]:
                 break
     for m in _LITERAL_TOKEN.finditer(text):
         value = m["value"]
-        if unnatural(value) and not _benign_context(text, m.start(), m.end()) and not re.fullmatch(r"(?i)[0-9a-f]+", value) and not _bulk(text, m.start(), m.end()) and not _is_path(value) and len(value) < 200:
+        if unnatural(value) and not _benign_context(text, m.start(), m.end()) and not re.fullmatch(r"(?i)[0-9a-f]+", value) and not _bulk(text, m.start(), m.end()) and not _is_path(value) and (len(value) < 200 or _LONG_TOKEN.fullmatch(value)):
             add(*m.span("value"), "unnatural")
     found.sort(key=lambda f: (f.start, -f.end))
     out: list[Finding] = []
