@@ -36,7 +36,8 @@ LEAST_GAIN = 2.5
 _SENTENCE = re.compile(r"(?<=[.!?:])\s+|\n\s*\n|\n(?=[#*\-])")
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _COLUMN = re.compile(r"['\"]([A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)*)['\"]")
-_HEADER = re.compile(r"^\s*((?:[A-Za-z]\w*\s+)+[A-Za-z]\w*)\s*$", re.M)
+_BLANK = re.compile(r"\n\s*\n")
+_HEADER = re.compile(r"^\s*+((?:[A-Za-z]\w*+\s++)+[A-Za-z]\w*+)\s*$", re.M)
 
 
 def sentences(text: str | None) -> tuple[list[tuple[str, ...]], list[tuple[str, ...]]]:
@@ -51,7 +52,7 @@ def sentences(text: str | None) -> tuple[list[tuple[str, ...]], list[tuple[str,
                 if found:
                     prose.append(found)
         else:
-            names = _COLUMN.findall(cell.text) if cell.kind == notebooks.CODE else [n for line in _HEADER.findall(cell.text[:2000])[:1] for n in line.split()]
+            names = _COLUMN.findall(cell.text) if cell.kind == notebooks.CODE else [n for line in _HEADER.findall(_BLANK.sub("\n", cell.text)) for n in line.split()]
             names = tuple(sorted({"=" + n.lower() for n in names}))
             if names:
                 columns.append(names)

@@ -91,3 +91,10 @@ def test_sentences():
     prose_, columns = sentences("# %% [markdown]\n# # Title\n#\n# One two. Three!\n\n# %%\nf['a_b']\n\n# out:   a_b  c\n# 0  1 2\n")
     assert prose_ == [("title",), ("one", "two"), ("three",)]
     assert columns[0] == ("=a_b",)
+
+
+def test_every_header_of_an_output_is_read():
+    log = "".join(f"# {i}: 0.{i} of 1.\n" for i in range(400))
+    text = f"# %%\nx\n\n# out:   a_b  c\n# 0  1 2\n{log}#    tempo_bpm  octave\n# 0  1 2\n"
+    assert sentences(text)[1] == [("=a_b", "=c", "=octave", "=tempo_bpm")]
+    assert sentences("# %%\nx\n\n# out: " + log[2:] + "#    tempo_bpm  octave\n# 0  1 2\n")[1] == [("=octave", "=tempo_bpm")]
