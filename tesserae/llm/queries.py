@@ -33,6 +33,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("chunk_a"), F.greatest("id", "neighbour").alias("chunk_b")).distinct()
 
 
+def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of the neighbour lists of drawn vectors, against exact search among all."""
+    return neighbours.measured_recall(table(spark, sf_dir, "chunks"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Credentials in files, by line, and in paths of the change feed."""
     files = secrets.scan(table(spark, sf_dir, "files"), "file_id", "text")
@@ -146,6 +151,7 @@ QUERIES = {
     "p3_pieces": p3_pieces,
     "p3_found": p3_found,
     "p5_neighbours": p5_neighbours,
+    "p5_recall": p5_recall,
     "p5_found": p5_found,
 }
 
