@@ -72,9 +72,9 @@ class Grammar:
         self._predict(classes or {})
         #: Contents that know an end mark besides lists.
         self._ended = {i for n, i in self.names.items() if n in ended}
-        # Of many equal items with separators, no rule can tell three from two.
-        separators = "".join(re.escape(c) for t, c in self.alphabet.chars.items() if t in (",", ";", "+", "NL"))
-        self._repeats = re.compile(rf"(.[{separators}])\1{{2,}}", re.S) if separators else None
+        # Of equal items with these separators, no rule of the grammars tells four from five: none counts beyond three.
+        separators = "".join(re.escape(c) for t, c in self.alphabet.chars.items() if t in (",", "+", "NL"))
+        self._repeats = re.compile(rf"(.[{separators}])\1{{4,}}", re.S) if separators else None
 
     # Compilation
 
@@ -273,7 +273,7 @@ class Grammar:
     def fits(self, start: int, text: str, segments) -> int:
         """As :meth:`recognise`, through the memo; a list is recognised statement by statement."""
         if self._repeats is not None:
-            text = self._repeats.sub(r"\1\1", text)
+            text = self._repeats.sub(r"\1\1\1\1", text)
         item = self.lists.get(start)
         if item is None:
             return self._known(start, text + END if start in self._ended else text)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_right
 from typing import NamedTuple
 
 from tesserae.llm.gll import END, Grammar
@@ -25,16 +26,27 @@ Elements : (Value (',' Value)*)?
 PYTHON = """
 File :: Statement
 Block :: Statement
-Statement : Simple | Compound
+Statement : Simple | Compound | @py2 OLD NL
 Simple : Small (';' Small)* ';'? NL
 Suite : ':' <:Block:> | ':' Simple
-Small : Expressions | Targets | Annotated | 'pass' | 'break' | 'continue' | 'del' Expressions
- | 'return' Expressions? | 'raise' (Expr ('from' Expr)?)? | 'global' ID (',' ID)* | 'nonlocal' ID (',' ID)*
- | 'import' Module (',' Module)* | 'from' Relative 'import' Imported | 'assert' Expr (',' Expr)? | 'type' ID TypeParams? '=' Expr
- | @py2 'print' (Expr (',' Expr)* ','?)? | @py2 'print' '>>' Expr (',' Expr)* | @py2 'exec' Expr ('in' Expr (',' Expr)?)? | @py2 'raise' Expr ',' Expr (',' Expr)?
-Targets : (Expressions '=')+ (Expressions | Yield) | Expressions AUGMENTED (Expressions | Yield) | Yield
-Annotated : Postfix ':' Expr ('=' (Expressions | Yield))?
-Yield : 'yield' Expressions? | 'yield' 'from' Expr
+Small : Expressions | Assigned | Yield | 'pass' | 'break' | 'continue' | 'del' Deleted (',' Deleted)* ','?
+ | 'return' Expressions? | 'raise' (Expr (@py3 'from' Expr)?)? | 'global' ID (',' ID)* | @py3 'nonlocal' ID (',' ID)*
+ | 'import' Module (',' Module)* | 'from' Relative 'import' Imported | 'assert' Expr (',' Expr)? | @py3 'type' ID TypeParams? '=' Expr
+ | @py2 'print' (Expr (',' Expr)* ','?)? | @py2 'print' '>>' Expr (',' Expr)* ','? | @py2 'exec' Expr ('in' Expr (',' Expr)?)? | @py2 'raise' Expr ',' Expr (',' Expr)?
+Assigned : (Targets '=')+ Value | Single AUGMENTED Value | @py3 Single ':' Expr ('=' Value)?
+Value : Expressions | Yield
+Yield : 'yield' Expressions? | @py3 'yield' 'from' Expr
+Targets : StarTarget (',' StarTarget)* ','?
+StarTarget : Target | @py3 '*' Target
+Target : ID | Member | (:GroupTargets:) | [:ListTargets:]
+Member : Atom Trailer* Last
+Last : '.' ID | [:Subscripts:]
+GroupTargets : (Target | StarTarget ',' (StarTarget (',' StarTarget)* ','?)?)?
+ListTargets : Targets?
+Single : ID | Member | (:SingleTarget:)
+SingleTarget : Single
+Deleted : ID | Member | (:DeletedTargets:) | [:DeletedTargets:]
+DeletedTargets : (Deleted (',' Deleted)* ','?)?
 Module : Dotted ('as' ID)?
 Dotted : ID ('.' ID)*
 Relative : Dots* Dotted | Dots+
@@ -42,60 +54,88 @@ Dots : '.' | '...'
 Imported : '*' | Name (',' Name)* | (:Names:)
 Names : Name (',' Name)* ','?
 Name : ID ('as' ID)?
-Compound : If | While | For | Try | With | Function | Class | Match | 'async' (For | With | Function) | Decorator+ ('async'? Function | Class)
+Compound : If | While | For | Try | With | Function | Class | @py3 Match | @py3 'async' (For | With | Function) | Decorator+ (Function | Class | @py3 'async' Function)
 If : 'if' Named Suite ('elif' Named Suite)* ('else' Suite)?
 While : 'while' Named Suite ('else' Suite)?
-For : 'for' Expressions 'in' Expressions Suite ('else' Suite)?
-Try : 'try' Suite Except+ ('else' Suite)? ('finally' Suite)? | 'try' Suite 'finally' Suite
-Except : 'except' '*'? (Expr (',' Expr)* ('as' ID)?)? Suite | @py2 'except' Expr ',' Expr Suite
-With : 'with' WithItem (',' WithItem)* Suite | 'with' (:WithItems:) Suite
+For : 'for' Targets 'in' Expressions Suite ('else' Suite)?
+Try : 'try' Suite Except+ ('else' Suite)? ('finally' Suite)? | @py3 'try' Suite ExceptGroup+ ('else' Suite)? ('finally' Suite)? | 'try' Suite 'finally' Suite
+Except : 'except' (Expr ('as' ID)?)? Suite | @py2 'except' Expr ',' Target Suite | @py2 'except' Expr 'as' Target Suite
+ExceptGroup : 'except' '*' Expr ('as' ID)? Suite
+With : 'with' WithItem (',' WithItem)* Suite | @py3 'with' (:WithItems:) Suite
 WithItems : WithItem (',' WithItem)* ','?
-WithItem : Expr ('as' Target)?
-Target : Postfix | Star
-Function : 'def' ID TypeParams? (:Parameters:) ('->' Expr)? Suite
-Parameters : (Parameter (',' Parameter)* ','?)?
-Parameter : ID (':' Expr)? ('=' Expr)? | '*' (ID (':' (Expr | Star))?)? | '**' ID (':' Expr)? | '/' | @py2 (:Expressions:) ('=' Expr)?
+WithItem : Expr ('as' StarTarget)?
+Function : 'def' ID TypeParams? (:Parameters:) (@py3 '->' Expr)? Suite
+Parameters : (Positional (',' Starred)? ','? | Starred ','?)?
+Positional : Plain (',' Plain)* (',' Slash)? (',' Plain)* (',' Default)* | (Plain ',')* Default (',' Default)* ',' Slash (',' Default)* | Default (',' Default)*
+Slash : @py3 '/'
+Plain : ID Annotation? | @py2 (:TuplePlain:)
+Default : Plain '=' Expr
+TuplePlain : TupleItem (',' TupleItem)* ','?
+TupleItem : ID | (:TuplePlain:)
+Annotation : @py3 ':' Expr
+Starred : '*' Rest (@py3 ',' KeywordOnly)* (',' '**' Plain)? | @py3 '*' (',' KeywordOnly)+ (',' '**' Plain)? | '**' Plain
+Rest : ID Annotation? | @py3 ID ':' Star
+KeywordOnly : Plain | Default
 Class : 'class' ID TypeParams? (:Arguments:)? Suite
-TypeParams : [:TypeParamList:]
+TypeParams : @py3 [:TypeParamList:]
 TypeParamList : TypeParam (',' TypeParam)* ','?
-TypeParam : ('*' | '**')? ID (':' Expr)? ('=' Expr)?
+TypeParam : ID (':' Expr)? ('=' Expr)? | '*' ID ('=' (Expr | Star))? | '**' ID ('=' Expr)?
 Decorator : '@' Named NL
-Match : 'match' Expressions ':' <:Cases:>
+Match : 'match' Subject ':' <:Cases:>
+Subject : Element ',' (Element (',' Element)* ','?)? | Named
 Cases :: Case
-Case : 'case' Pattern (',' Pattern)* ','? ('if' Named)? Suite
-Pattern : '*' ID | Choice ('as' ID)?
+Case : 'case' (Choices | Open) ('if' Named)? Suite
+Open : MaybeStar ',' (MaybeStar (',' MaybeStar)* ','?)?
+MaybeStar : Choices | '*' ID
+Choices : Choice ('as' ID)?
 Choice : Closed ('|' Closed)*
-Closed : '-'? NUM (('+' | '-') NUM)? | STR+ | 'None' | 'True' | 'False' | Dotted | Dotted (:PatternArguments:) | (:Patterns:) | [:Patterns:] | {:PatternItems:}
-Patterns : (Pattern (',' Pattern)* ','?)?
-PatternArguments : (PatternArgument (',' PatternArgument)* ','?)?
-PatternArgument : Pattern | ID '=' Pattern
-PatternItems : (PatternItem (',' PatternItem)* ','?)?
-PatternItem : Closed ':' Pattern | '**' ID
-Expressions : Element (',' Element)* ','?
+Closed : '-'? Number (('+' | '-') Number)? | Strings | 'None' | 'True' | 'False' | Dotted | Dotted (:PatternArguments:) | (:GroupPattern:) | [:ListPattern:] | {:PatternItems:}
+GroupPattern : (Choices | Open)?
+ListPattern : (MaybeStar (',' MaybeStar)* ','?)?
+PatternArguments : (Choices (',' Choices)* (',' ID '=' Choices)* ','? | ID '=' Choices (',' ID '=' Choices)* ','?)?
+PatternItems : (PatternItem (',' PatternItem)* (',' '**' ID)? ','? | '**' ID ','?)?
+PatternItem : Key ':' Choices
+Key : '-'? Number (('+' | '-') Number)? | Strings | 'None' | 'True' | 'False' | ID ('.' ID)+
+Expressions : Listed1 (',' Listed1)* ','?
+Listed1 : Expr | Star
 Element : Named | Star
-Star : '*' Binary
-Named : Expr | ID ':=' Expr
-Expr : Binary ('if' Binary 'else' Expr)? | 'lambda' LambdaParameters? ':' Expr
-LambdaParameters : LambdaParameter (',' LambdaParameter)* ','?
-LambdaParameter : ID ('=' Expr)? | '*' ID? | '**' ID | '/'
-Binary : Unary (Operator Unary)*
-Operator : OPERATOR | '*' | '**' | '/' | '-' | '+' | '|' | '@' | '>>' | 'in' | 'not' 'in' | 'is' 'not'? | 'and' | 'or' | @py2 '<>'
-Unary : ('-' | '+' | '~' | 'not' | 'await')* Postfix | 'lambda' LambdaParameters? ':' Expr
+Star : @py3 '*' Bit
+Named : Expr | @py3 ID ':=' Expr
+Expr : Logic ('if' Logic 'else' Expr)? | Lambda
+Lambda : 'lambda' LambdaParameters? ':' Expr
+LambdaParameters : LambdaPositional (',' LambdaStarred)? ','? | LambdaStarred ','?
+LambdaPositional : LambdaPlain (',' LambdaPlain)* (',' Slash)? (',' LambdaPlain)* (',' LambdaDefault)* | (LambdaPlain ',')* LambdaDefault (',' LambdaDefault)* ',' Slash (',' LambdaDefault)* | LambdaDefault (',' LambdaDefault)*
+LambdaPlain : ID | @py2 (:TuplePlain:)
+LambdaDefault : LambdaPlain '=' Expr
+LambdaStarred : '*' ID (@py3 ',' LambdaKeywordOnly)* (',' '**' ID)? | @py3 '*' (',' LambdaKeywordOnly)+ (',' '**' ID)? | '**' ID
+LambdaKeywordOnly : ID | LambdaDefault
+Logic : Inversion (('and' | 'or') Inversion)*
+Inversion : 'not'* Compared
+Compared : Bit (Comparison Bit)*
+Comparison : COMPARISON | 'in' | 'not' 'in' | 'is' 'not'? | @py2 '<>'
+Bit : Factor (Arithmetic Factor)*
+Arithmetic : OPERATOR | '*' | '**' | '/' | '-' | '+' | '|' | '>>' | @py3 '@'
+Factor : ('-' | '+' | '~')* (@py3 'await')? Postfix
 Postfix : Atom Trailer*
 Trailer : '.' ID | (:Arguments:) | [:Subscripts:]
-Atom : ID | NUM | STR+ | '...' | 'None' | 'True' | 'False' | (:Grouped:) | [:Listed:] | {:Mapped:} | @py2 BACKTICKS
-Grouped : (Expressions | Yield | Comprehended)?
-Listed : (Expressions | Comprehended)?
-Comprehended : Element Clause+
-Clause : 'async'? 'for' Expressions 'in' Binary ('if' Binary 'else' Expr)? Condition*
-Condition : 'if' Condition1
-Condition1 : Binary | ID ':=' Expr | 'lambda' LambdaParameters? ':' Expr
-Mapped : (Pair (',' Pair)* ','? | Expressions | Comprehended | Expr ':' Expr Clause+)?
-Pair : Expr ':' Expr | '**' Binary
-Arguments : (Argument (',' Argument)* ','?)?
-Argument : Named Clause* | '*' Expr | '**' Expr | ID '=' Expr
-Subscripts : Subscript (',' Subscript)* ','?
-Subscript : Named | Star | Expr? ':' Expr? (':' Expr?)?
+Atom : ID | Number | Strings | '...' | 'None' | 'True' | 'False' | (:Grouped:) | [:Listed:] | {:Mapped:} | @py2 BACKTICKS
+Number : NUM | @py3 NEWNUM | @py2 OLDNUM
+Strings : (STR | @py3 FSTR | @py2 OLDSTR)+ | BSTR+ | @py2 (STR | BSTR | OLDSTR)+
+Grouped : (Named | Yield | Element ',' (Element (',' Element)* ','?)? | Named Clause+)?
+Listed : (Element (',' Element)* ','? | Named Clause+ | @py2 Expr 'for' Targets 'in' Logic (',' Logic)+ ','? Clause*)?
+Clause : (@py3 'async')? 'for' Targets 'in' Logic Condition*
+Condition : 'if' Logic | @py2 'if' Lambda
+Mapped : (Pair (',' Pair)* ','? | Element (',' Element)* ','? | Named Clause+ | Expr ':' Expr Clause+)?
+Pair : Expr ':' Expr | @py3 '**' Bit
+Arguments : (Positioned (',' Positioned)* (',' Keywords)? ','? | Keywords ','? | Named Clause+)?
+Positioned : Named | '*' Expr
+Keywords : Keyword (',' Keyword)* (',' Doubled)* | Doubled (',' Doubled)* | Keyword (',' Keyword)* ',' '**' Expr (',' Doubled)*
+Keyword : ID '=' Expr | '*' Expr
+Doubled : ID '=' Expr | '**' Expr
+Subscripts : Subscript (',' (Subscript | StarIndex))* ','? | StarIndex (',' (Subscript | StarIndex))* ','?
+StarIndex : @py3 '*' Expr
+Subscript : Named | Expr? ':' Expr? (':' Expr?)?
+Field : Expressions | Yield
 """
 
 GO = """
@@ -239,8 +279,9 @@ File :: Statement
 Block :: Statement
 Statement : {:Block:} | Variables Stop | Function | Class | ';' | END | ^ Expr Stop | If | For | 'while' (:Expr:) Statement | 'do' Statement 'while' (:Expr:) Stop?
  | 'return' Expr? Stop | 'break' ID? Stop | 'continue' ID? Stop | 'throw' Expr Stop | Try | Switch | ID ':' Statement | 'import' ImportClause Stop | Export | 'debugger' Stop | 'with' (:Expr:) Statement
- | @ts Declaration | DECORATOR ';'? Statement | HASHBANG
+ | @ts Declaration | Decorator Statement | HASHBANG
 Stop : ';' | END
+Decorator : DECORATOR (:Arguments:)?
 Variables : ('var' | 'let' | 'const') Binding (',' Binding)* | @ts 'declare' Variables
 Binding : Pattern '!'? Annotation? ('=' Assignment)?
 Annotation : @ts ':' Type
@@ -255,14 +296,14 @@ Callable : TypeParams? (:Params:) Result? {:Block:} | @ts TypeParams? (:Params:)
 Result : @ts ':' Returned
 Returned : Type | 'asserts'? (ID | 'this') ('is' Type)?
 Params : (Param (',' Param)* ','?)?
-Param : DECORATOR* Access* '...'? Pattern '?'? Annotation? ('=' Assignment)? | @ts 'this' Annotation
+Param : Decorator* Access* '...'? Pattern '?'? Annotation? ('=' Assignment)? | @ts 'this' Annotation
 Access : @ts ACCESS | @ts 'readonly' | @ts 'override'
 Class : @ts 'abstract' Class | @ts 'declare' Class | 'class' ID? TypeParams? ('extends' Heritage)? Implements? {:Members:}
 Heritage : Left TypeArgs?
 Implements : @ts 'implements' Types
 Members :: MemberItem
 MemberItem : Member | ';' | END
-Member : DECORATOR* ';'? MemberModifier* (MemberMethod | MemberField | 'static' {:Block:} | @ts [:IndexKey:] Annotation MemberStop)
+Member : Decorator* MemberModifier* (MemberMethod | MemberField | 'static' {:Block:} | @ts [:IndexKey:] Annotation MemberStop)
 MemberModifier : 'static' | 'async' | 'get' | 'set' | '*' | 'accessor' | @ts ACCESS | @ts 'readonly' | @ts 'abstract' | @ts 'override' | @ts 'declare'
 MemberMethod : Key '?'? TypeParams? (:Params:) Result? ({:Block:} | MemberStop)
 MemberField : Key ('?' | '!')? Annotation? ('=' Assignment)? MemberStop
@@ -281,7 +322,7 @@ With : ('with' | 'assert') {:Pairs:}
 ImportNames : ID | {:Names:} | '*' 'as' ID | ID ',' ({:Names:} | '*' 'as' ID)
 Names : (Name (',' Name)* ','?)?
 Name : 'type'? (ID | WORD | STR) ('as' (ID | WORD | STR))?
-Export : 'export' ({:Names:} ('from' STR)? Stop | '*' ('as' (ID | WORD | STR))? 'from' STR Stop | 'default' (Function | Class | Expr Stop) | Variables Stop | DECORATOR* 'async'? Function | DECORATOR* Class | @ts Declaration | @ts 'type' {:Names:} ('from' STR)? Stop | @ts '=' Expr Stop | @ts 'default' Declaration)
+Export : 'export' ({:Names:} ('from' STR)? Stop | '*' ('as' (ID | WORD | STR))? 'from' STR Stop | 'default' (Function | Class | Expr Stop) | Variables Stop | Decorator* 'async'? Function | Decorator* Class | @ts Declaration | @ts 'type' {:Names:} ('from' STR)? Stop | @ts '=' Expr Stop | @ts 'default' Declaration)
 Declaration : 'declare'? (Interface | Alias Stop | Enum | Namespace) | 'declare' 'global' {:Block:}
 Interface : 'interface' ID TypeParams? ('extends' Types)? {:TypeMembers:}
 Alias : 'type' ID TypeParams? '=' Type
@@ -314,7 +355,7 @@ Operator : OPERATOR | '<' | '>' | '>' '=' | '>' '>' | '>' '>' '>' | '&' | '|' |
 Unary : (PREFIX | '-' | '+' | 'typeof' | 'void' | 'await' | '!')* Postfix | @ts '<' Type '>' Unary
 Postfix : Left ('++' | '--')?
 Left : Start Suffix*
-Start : ID | NUM | STR | TEMPLATE | REGEX | 'this' | 'super' | 'null' | 'true' | 'false' | 'undefined' | (:Expr:) | [:Elements:] | {:Pairs:} | 'async'? 'function' '*'? ID? TypeParams? (:Params:) Result? {:Block:} | DECORATOR* 'class' ID? TypeParams? ('extends' Heritage)? Implements? {:Members:}
+Start : ID | NUM | STR | TEMPLATE | REGEX | 'this' | 'super' | 'null' | 'true' | 'false' | 'undefined' | (:Expr:) | [:Elements:] | {:Pairs:} | 'async'? 'function' '*'? ID? TypeParams? (:Params:) Result? {:Block:} | Decorator* 'class' ID? TypeParams? ('extends' Heritage)? Implements? {:Members:}
  | 'new' Left | 'new' '.' ID | 'import' (:Arguments:) | 'import' '.' ID | PRIVATE
 Suffix : ('.' | '?.') (ID | WORD | PRIVATE) | '?.'? [:Expr:] | '?.'? (:Arguments:) | TEMPLATE | @ts '!' | @ts TypeArgs (:Arguments:) | @ts TypeArgs TEMPLATE
 Arguments : (Argument (',' Argument)* ','?)?
@@ -495,11 +536,17 @@ class Language(NamedTuple):
     lexer: object
     segments: object
     dialects: int
+    #: Texts that a text stands for, all of which must be valid, by conditional directives.
+    variants: object = None
+
+    def fits(self, text: str) -> int:
+        """The dialects in which a text without directives is valid, as a mask."""
+        tokens = self.lexer(text)
+        return 0 if tokens is None else self.grammar.accepts("File", tokens, PAIRS, self.segments) & self.dialects
 
     def accepts(self, text: str) -> bool:
         """Whether a text is valid in one of the dialects."""
-        tokens = self.lexer(text)
-        return tokens is not None and bool(self.grammar.accepts("File", tokens, PAIRS, self.segments) & self.dialects)
+        return all(self.fits(t) for t in (self.variants(text) if self.variants else (text,)))
 
 
 def _words(text: str) -> list[str]:
@@ -590,75 +637,200 @@ def json_language() -> Language:
 # Python
 
 
+_PY_PLAIN = re.compile(r"(?:[^\\]|\\(?![xuUN])|\\x[0-9a-fA-F]{2})*+", re.S)
+_PY_ESCAPED = re.compile(r"(?:[^\\]|\\[^xuUN]|\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\U(?:000[0-9a-fA-F]|0010)[0-9a-fA-F]{4}|\\N\{[^}\n]+\}|\\\Z)*+", re.S)
+_PY_NUMBER = re.compile(r"0[xX](?:_?[\da-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:(?:\d(?:_?\d)*+)?\.\d(?:_?\d)*+|\d(?:_?\d)*+\.?)(?:[eE][+-]?\d(?:_?\d)*+)?[jJ]?")
+_PY_OLD_NUMBER = re.compile(r"0[0-7]+[lL]?|(?:0[xX][\da-fA-F]+|0[oO][0-7]+|0[bB][01]+|\d+)[lL]")
+_PY_LEADING_ZERO = re.compile(r"0[\d_]*[1-9][\d_]*")
+_PY_STRING = r"(?:\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*+'''|\"(?!\"\")(?:[^\"\\\r\n]|\\(?:\r\n|.))*+\"|'(?!'')(?:[^'\\\r\n]|\\(?:\r\n|.))*+')"
+# Literal text of an f-string up to a field, a wrong brace or the end, and of a format within a field.
+_PY_LITERAL, _PY_SPEC = {}, {}
+for _quote in ("'", '"', "'''", '"""'):
+    _other = rf"{_quote[0]}(?!{_quote[1:]})" if len(_quote) == 3 else r"(?!)"
+    _line = "" if len(_quote) == 3 else r"\r\n"
+    _PY_LITERAL[_quote] = re.compile(rf"(?:[^{{}}\\{_quote[0]}{_line}]|\\(?:\r\n|[^{{}}])|\\(?=[{{}}])|{{{{|}}}}|{_other})*+", re.S)
+    _PY_SPEC[_quote] = re.compile(rf"(?:[^{{}}{_quote[0]}{_line}]|{_other})*+", re.S)
+
+
 @functools.cache
 def python_language() -> Language:
+    """Python 3 and 2. What only one of them knows is marked in the grammar; a token of one only has a class of its own."""
     soft = _words("match case type print exec _")
-    operators = _words("% // & ^ << < > == >= <= !=")
+    operators = _words("% // & ^ <<")
+    comparisons = _words("< > == >= <= !=")
     augmented = _words("+= -= *= /= //= %= @= &= |= ^= >>= <<= **=")
-    grammar = Grammar(PYTHON, ["py3", "py2"], {"ID": soft, "OPERATOR": operators, "AUGMENTED": augmented})
+    grammar = Grammar(PYTHON, ["py3", "py2"], {"ID": soft, "OPERATOR": operators, "COMPARISON": comparisons, "AUGMENTED": augmented})
     char = grammar.alphabet.char
     literal = _literals(grammar)
     ops = _operators([*literal])
     pattern = re.compile(
-        r"(?P<w>[ \t\f]+|\\\r?\n|#[^\r\n]*)|(?P<l>\r\n|\n|\r)"
-        r"|(?P<s>(?i:[rbuft]{0,3})(?:\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*+'''|\"(?!\"\")(?:[^\"\\\r\n]|\\(?:\r\n|.))*+\"|'(?!'')(?:[^'\\\r\n]|\\(?:\r\n|.))*+'))"
-        r"|(?P<n>(?:0[xX][\da-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+|(?:\d[\d_]*+(?:\.[\d_]*+)?|\.\d[\d_]*+)(?:[eE][+-]?\d[\d_]*+)?)[jJlL]?(?![\w]))"
+        r"(?P<w>[ \t\f]+|\\\r?\n|#[^\r\n]*)|(?P<l>\r\n|\n|\r)|(?P<f>(?i:fr?|rf|tr?|rt)(?:\"\"\"|'''|[\"']))"
+        rf"|(?P<s>(?i:[rbu]{{0,2}}){_PY_STRING})"
+        r"|(?P<n>(?:0[xXoObB][\da-fA-F_]+|(?:\d[\d_]*+(?:\.[\d_]*+)?+|\.\d[\d_]*+)(?:[eE][+-]?\d[\d_]*+)?)[jJlL]?(?![\w]))"
         rf"|(?P<i>[^\W\d]\w*)|(?P<b>`[^`\n]+`)|(?P<o>{ops})|(?P<e>.)",
         re.S,
     )
-    new_line, identifier, string, number, ticks = char("NL"), char("ID"), char("STR"), char("NUM"), char("BACKTICKS")
+    new_line, identifier, ticks, formatted, old = (char(t) for t in ("NL", "ID", "BACKTICKS", "FSTR", "OLD"))
+    string, old_string, byte_string, plain, new, octal = (char(t) for t in ("STR", "OLDSTR", "BSTR", "NUM", "NEWNUM", "OLDNUM"))
     words = {t: c for t, c in literal.items() if re.match(r"\w", t)}
 
-    def lexer(text: str) -> str | None:
-        out, depth, levels, begun, width = [], 0, [0], False, 0
-        if text[:1] == "﻿":
-            text = text[1:]
-        for m in pattern.finditer(text):
-            kind = m.lastgroup
-            if kind == "w":
-                if not begun and text[m.start()] in " \t\f":
-                    width = len(m[0].expandtabs(8).replace("\f", ""))
+    @functools.lru_cache(maxsize=4096)
+    def number(text: str) -> str | None:
+        if _PY_NUMBER.fullmatch(text) and not _PY_LEADING_ZERO.fullmatch(text):
+            return new if "_" in text else plain
+        return octal if _PY_OLD_NUMBER.fullmatch(text) else None
+
+    def quoted(text: str) -> str | None:
+        if text[0] in "\"'" and "\\" not in text:
+            return string
+        prefix = re.match(r"\w*", text)[0].lower()
+        if "b" in prefix:
+            if "u" in prefix or "r" not in prefix and not _PY_PLAIN.fullmatch(re.sub(r"\\[uUN]", "", text)):
+                return None
+            return byte_string if text.isascii() else old_string
+        if prefix == "ur":
+            return old_string
+        if "r" in prefix:
+            return string if prefix == "r" else None
+        if _PY_ESCAPED.fullmatch(text, len(prefix)):
+            return string
+        return old_string if prefix == "" and _PY_PLAIN.fullmatch(re.sub(r"\\[uUN]", "", text)) else None
+
+    debug = re.compile(r"=\s*(?:[:}]|!(?!=))")
+    tail = re.compile(r"(?:=\s*)?(?:![ \t]*[^\W\d]\w*\s*)?([:}])")
+
+    def field(text: str, at: int, quote: str) -> int | None:
+        """End of a replacement field of an f-string, behind its closing brace; what it holds is recognised as an expression."""
+        out, depth, last = [], 0, len(text)
+        while at < last:
+            m = pattern.match(text, at)
+            kind, s = m.lastgroup, m[0]
+            if kind == "f":
+                at = f_string(text, m)
+                if at is None:
+                    return None
+                out.append(formatted)
                 continue
-            if kind == "l":
-                if begun and not depth:
-                    out.append(new_line)
-                    begun = False
-                if not begun:
-                    width = 0
+            if not depth and (s[0] in "}:" or s[0] == "!" and s != "!=" or s == "=" and debug.match(text, at)):
+                break
+            at = m.end()
+            if kind in "wl":
                 continue
-            if kind == "e":
+            if kind == "o":
+                depth += (s in "([{") - (s in ")]}")
+                if depth < 0:
+                    return None
+                out.append(literal[s])
+            else:
+                c = words.get(s, identifier) if kind == "i" else quoted(s) if kind == "s" else number(s) if kind == "n" else None
+                if c is None:
+                    return None
+                out.append(c)
+        end = tail.match(text, at)
+        if end is None or not grammar.accepts("Field", "".join(out), PAIRS, segments) & 1:
+            return None
+        at = end.end()
+        while end[1] == ":":  # the format, with fields of its own
+            at = _PY_SPEC[quote].match(text, at).end()
+            if text[at : at + 1] == "}":
+                return at + 1
+            if text[at : at + 1] != "{" or (at := field(text, at + 1, quote)) is None:
+                return None
+        return at
+
+    def f_string(text: str, m: re.Match) -> int | None:
+        """End of an f-string that begins with a match, or None."""
+        quote = m[0].lstrip("fFrRtT")
+        raw, at = "r" in m[0].lower(), m.end()
+        while True:
+            begun = at
+            at = _PY_LITERAL[quote].match(text, at).end()
+            if not raw and "\\" in text[begun:at]:
+                if text[at : at + 1] == "{" and re.search(r"(?<!\\)(?:\\\\)*\\N\Z", text[begun:at]):  # a named character
+                    named = re.compile(r"\{[^}\n]+\}").match(text, at)
+                    if named is None:
+                        return None
+                    at = named.end()
+                    continue
+                if not _PY_ESCAPED.fullmatch(text, begun, at):
+                    return None
+            if text.startswith(quote, at):
+                return at + len(quote)
+            if text[at : at + 1] != "{":
                 return None
-            if not begun and not depth:
-                begun = True
-                if width > levels[-1]:
-                    levels.append(width)
-                    if out:
+            at = field(text, at + 1, quote)
+            if at is None:
+                return None
+
+    def lexer(text: str) -> str | None:
+        out, depth, levels, begun, blank, mixed = [], 0, [(0, 0)], False, (0, 0), False
+        if text[:1] == "\ufeff":
+            text = text[1:]
+        if "\0" in text:
+            return None
+        at, last = 0, len(text)
+        while at < last:
+            again = None
+            for m in pattern.finditer(text, at):
+                kind = m.lastgroup
+                if kind == "w":
+                    if not begun and text[m.start()] in " \t\f":
+                        space = m[0].rpartition("\f")[2]
+                        blank = len(space.expandtabs(8)), len(space)
+                    continue
+                if kind == "l":
+                    if begun and not depth:
+                        out.append(new_line)
+                        begun = False
+                    if not begun:
+                        blank = (0, 0)
+                    continue
+                if kind == "e":
+                    return None
+                if not begun and not depth:
+                    begun = True
+                    if blank[0] > levels[-1][0]:
+                        mixed = mixed or blank[1] <= levels[-1][1]
+                        levels.append(blank)
+                        if not out:
+                            return None
                         out[-1] = "<"
                     else:
+                        while blank[0] < levels[-1][0]:
+                            levels.pop()
+                            out.append(">")
+                        if blank[0] != levels[-1][0]:
+                            return None
+                        mixed = mixed or blank[1] != levels[-1][1]
+                if kind == "i":
+                    out.append(words.get(m[0], identifier))
+                elif kind == "o":
+                    c = literal[m[0]]
+                    if c in "([{":
+                        depth += 1
+                    elif c in ")]}":
+                        depth -= 1
+                        if depth < 0:
+                            return None
+                    out.append(c)
+                elif kind == "f":
+                    again = f_string(text, m)
+                    if again is None:
                         return None
+                    out.append(formatted)
+                    break
                 else:
-                    while width < levels[-1]:
-                        levels.pop()
-                        out.append(">")
-                    if width != levels[-1]:
+                    c = quoted(m[0]) if kind == "s" else number(m[0]) if kind == "n" else ticks
+                    if c is None:
                         return None
-            if kind == "i":
-                out.append(words.get(m[0], identifier))
-            elif kind == "o":
-                c = literal[m[0]]
-                if c in "([{":
-                    depth += 1
-                elif c in ")]}":
-                    depth -= 1
-                    if depth < 0:
-                        return None
-                out.append(c)
-            else:
-                out.append(string if kind == "s" else number if kind == "n" else ticks)
+                    out.append(c)
+            if again is None:
+                break
+            at = again
         if begun:
             out.append(new_line)
         out += ">" * (len(levels) - 1)
-        return "".join(out)
+        return "".join([old, new_line, *out] if mixed else out)  # Python 3 wants one way of indenting
 
     follow = {char(w) for w in ("else", "elif", "except", "finally")}
     at_sign = char("@")
@@ -685,7 +857,7 @@ _C_COMMENT = r"//[^\r\n]*|/\*(?:[^*]|\*(?!/))*+\*/"
 _C_NUMBER = r"(?:0[xX][\da-fA-F_'.]+(?:[pP][+-]?\d+)?|0[bB][01_']+|(?:\d[\d_']*+(?:\.(?!\.)[\d_]*+)?|\.\d[\d_]*+)(?:[eE][+-]?\d[\d_]*+)?)\w*"
 
 
-def _plain_lexer(grammar: Grammar, literal: dict[str, str], pattern: re.Pattern, kinds: dict[str, str], ends: frozenset | None = None, prepare=None):
+def _plain_lexer(grammar: Grammar, literal: dict[str, str], pattern: re.Pattern, kinds: dict[str, str], ends: frozenset | None = None):
     """A lexer that drops blanks and comments; with ``ends``, a line break behind one of these tokens is a ``;``."""
     identifier = grammar.alphabet.char("ID")
     words = {t: c for t, c in literal.items() if re.match(r"[\w$]", t)}
@@ -693,8 +865,6 @@ def _plain_lexer(grammar: Grammar, literal: dict[str, str], pattern: re.Pattern,
     stop = grammar.alphabet.char(";")
 
     def lexer(text: str) -> str | None:
-        if prepare is not None:
-            text = prepare(text)
         out: list[str] = []
         for m in pattern.finditer(text):
             kind = m.lastgroup
@@ -768,33 +938,48 @@ def c_languages() -> dict[str, Language]:
 
     directives = frozenset(_words("define undef include include_next import if ifdef ifndef elif elifdef elifndef else endif error warning pragma line ident sccs assert unassert embed region endregion"))
 
-    def prepare(text: str) -> str:
-        """Without directives; of alternative branches the first, but for ``#if 0``."""
+    def variants(text: str) -> list[str]:
+        """Texts without directives, so that each branch of each conditional stands in one of them, but for that of ``#if 0``.
+
+        In the n-th text, every conditional is replaced by its n-th branch, or by its last if it has fewer;
+        conditionals of one form that stand in several places are thus taken alike. A wrong directive gives a text that is rejected.
+        """
         if "#" not in text:
-            return text
-        out, at, hidden = [], 0, []
+            return [text]
         blocks = [(m.start(), m.end()) for m in re.finditer(rf"/\*(?:[^*]|\*(?!/))*+\*/|//[^\r\n]*|R\"(\w*)\((?:.|\n)*?\)\1\"", text)] if "/*" in text or 'R"' in text else []
+        starts = [a for a, _ in blocks]
+        marks, begun, counts = [], [], []  # (start, end, conditionals around what follows, with the branch of each)
         for m in directive.finditer(text):
-            if any(a <= m.start() < b for a, b in blocks):
+            k = bisect_right(starts, m.start()) - 1
+            if k >= 0 and m.start() < blocks[k][1]:
                 continue
-            if not any(hidden):
-                out.append(text[at : m.start()])
             word = re.match(r"[ \t]*(?:#|%:)[ \t]*(\w*)[ \t]*(.*)", m[0])
             name = word[1] if word else ""
             if name and name not in directives and not name.isdigit():
-                return "\0"
+                return ["\0"]
             if name in ("if", "ifdef", "ifndef"):
-                hidden.append(word[2].strip() == "0")
-            elif name in ("else", "elif", "elifdef", "elifndef"):
-                if not hidden:
-                    return "\0"
-                hidden[-1] = not hidden[-1] if hidden[-1] and word else True
-            elif name == "endif":
-                if not hidden:
-                    return "\0"
-                hidden.pop()
-            at = m.end()
-        return "\0" if hidden else "".join(out) + text[at:]
+                begun.append((len(counts), -1 if word[2].strip() == "0" else 0))
+                counts.append(begun[-1][1] + 1)
+            elif name in ("else", "elif", "elifdef", "elifndef", "endif"):
+                if not begun:
+                    return ["\0"]
+                if name == "endif":
+                    begun.pop()
+                else:
+                    begun[-1] = begun[-1][0], begun[-1][1] + 1
+                    counts[begun[-1][0]] += 1
+            marks.append((m.start(), m.end(), tuple(begun)))
+        if begun:
+            return ["\0"]
+        made = []
+        for n in range(max([1, *counts])):
+            out, at, shown = [], 0, True
+            for start, end, around in marks:
+                if shown:
+                    out.append(text[at:start])
+                at, shown = end, all(0 <= branch == min(n, counts[i] - 1) for i, branch in around)
+            made.append("".join(out) + text[at:])
+        return made
 
     made = {}
     for dialects, literal in (("c", c), ("cpp", cpp)):
@@ -803,9 +988,9 @@ def c_languages() -> dict[str, Language]:
             rf"(?P<s>(?:(?:u8|u|U|L)?R\"(?P<raw>[^\s()\\]{{0,16}})\((?:.|\n)*?\)(?P=raw)\"|(?:u8|u|U|L)?{_C_STRING})(?:_\w+)?)|(?P<c>(?:u8|u|U|L)?{_C_CHAR})|(?P<n>{_C_NUMBER})|(?P<i>[^\W\d][\w$]*)|(?P<o>{_operators(literal)})|(?P<e>.)",
         )
         kinds = {"s": "STR", "c": "CHAR", "n": "NUM", "raw": "STR"}
-        lexer = _plain_lexer(grammar, literal, pattern, kinds, prepare=prepare)
+        lexer = _plain_lexer(grammar, literal, pattern, kinds)
         starters = "BUILTIN static if for return switch goto break continue typedef inline" + (" namespace template ACCESS virtual explicit using" if dialects == "cpp" else "")
-        made[dialects] = Language(grammar, lexer, _statement_segments(grammar, starters), grammar.dialects[dialects])
+        made[dialects] = Language(grammar, lexer, _statement_segments(grammar, starters), grammar.dialects[dialects], variants)
     return made
 
 
@@ -892,7 +1077,7 @@ def script_languages() -> dict[str, Language]:
     words = {t: c for t, c in literal.items() if re.match(r"[\w$]", t)}
     body = (
         rf"(?P<l>[\r\n\u2028\u2029]\s*|/\*(?:[^*]|\*(?!/))*+\*/|<!--[^\r\n]*)|(?P<s>{_C_STRING}|'(?:[^'\\\r\n]|\\(?:\r\n|.))*+')|(?P<n>(?:0[xX][\da-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+|(?:\d[\d_]*+(?:\.[\d_]*+)?|\.\d[\d_]*+)(?:[eE][+-]?\d+)?)n?(?![\w$]))"
-        rf"|(?P<p>\#[^\W\d][\w$]*)|(?P<d>@[^\W\d][\w$]*(?:\.[\w$]+)*)|(?P<i>(?:[^\W\d]|\$)(?:\w|\$)*)|(?P<t>`)"
+        rf"|(?P<p>\#[^\W\d][\w$]*)|(?P<d>@(?:[^\W\d][\w$]*(?:\.[\w$]+)*|(?=\()))|(?P<i>(?:[^\W\d]|\$)(?:\w|\$)*)|(?P<t>`)"
     )
     pattern = _tokens(r"[^\S\r\n\u2028\u2029]+|//[^\r\n\u2028\u2029]*|/\*[^*\r\n]*\*/", body + rf"|(?P<o>{_operators(literal)})|(?P<e>.)")
     regex = re.compile(r"/(?![*/])(?:[^/\\\[\r\n]|\\[^\r\n]|\[(?:[^\]\\\r\n]|\\[^\r\n])*\])+/[dgimsuvy]*(?![\w$])")
@@ -943,25 +1128,21 @@ def script_languages() -> dict[str, Language]:
                     c = private
                 elif kind == "d":
                     c = decorator
-                    if text[m.end() : m.end() + 1] == "(":  # its arguments belong to it
-                        end = skip_brackets(text, m.end())
-                        if end is None:
-                            return None
-                        at, again = end, True
                 else:
                     return None
                 if fresh:
                     fresh = False
                     if before and (not brackets or brackets[-1] == "{") and (before in restricted or before in values and c not in going_on and c != "}" and not (c == "{" and before in opens_block)):
                         out.append(stop)
+                ended = ""
                 if c in "([{":
-                    brackets.append(c)
+                    brackets.append("@" if before == decorator and c == "(" else c)
                 elif c in ")]}":
                     if not brackets:
                         return m.end() if inside and c == "}" else None
-                    brackets.pop()
+                    ended = brackets.pop()
                 out.append(c)
-                before = c
+                before = decorator if ended == "@" else c  # no statement ends behind the arguments of a decorator
                 if again:
                     break
         return None if inside else len(text)
@@ -984,25 +1165,6 @@ def script_languages() -> dict[str, Language]:
                 return None
             at = end
 
-    def skip_brackets(text: str, at: int) -> int | None:
-        depth = 0
-        while at < len(text):
-            m = pattern.match(text, at)
-            if m.lastgroup == "z":
-                return None
-            at = m.end()
-            if m.lastgroup == "t":
-                at = skip_template(text, at)
-                if at is None:
-                    return None
-            elif m[m.lastgroup] == "(":
-                depth += 1
-            elif m[m.lastgroup] == ")":
-                depth -= 1
-                if not depth:
-                    return at
-        return None
-
     def lexer(text: str) -> str | None:
         out: list[str] = []
         at = 0

@@ -108,9 +108,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of files that do not parse, by repository and language; the latest delivery of each file counts."""
     files = table(spark, sf_dir, "files")
-    checked = syntax.check(files).dropDuplicates(["id"])
-    repos = files.select(F.col("file_id").alias("id"), "repo").distinct()
-    rates = checked.join(repos, "id").groupBy("repo", F.col("extension").alias("language"))
+    last = F.max(F.struct("ingested_at", "valid", "repo", "extension")).alias("last")
+    checked = syntax.check(files, keep=("repo", "ingested_at")).groupBy("id").agg(last).select("last.*")
+    rates = checked.groupBy("repo", F.col("extension").alias("language"))
     return rates.agg(F.count(F.lit(1)).alias("files"), F.count_if(~F.col("valid")).alias("invalid")).withColumn("rate", F.round(F.col("invalid") / F.col("files"), 6))
 
 
