@@ -20,6 +20,8 @@ from tesserae.llm import syntax
 from tesserae.llm.peg import Peg, Tokens
 from tesserae.plans.runtime import spread
 
+#: Tokens behind a comment that are read at first; more are read as long as a definition needs them.
+WINDOW = 32
 #: Words that documentation must have besides markers, tags, parameters and the function's own name.
 LEAST_WORDS = 5
 
@@ -277,13 +279,13 @@ class _Comments:
     """Comments by line: runs of comments on adjacent lines that nothing else precedes on their lines."""
 
     def __init__(self, text: str, spans: list[tuple[int, int]]):
-        self._breaks = [m.end() for m in re.finditer(r"\r\n|\n|\r", text)]
+        self._text = text.replace("\r\n", " \n").replace("\r", "\n") if "\r" in text else text
+        self._last = 0, 1
         self._runs: dict[int, tuple[int, int]] = {}
         last = None
         for a, b in spans:
             line, until = self.line(a), self.line(max(a, b - 1))
-            begin = self._breaks[line - 2] if line > 1 else 0
-            if text[begin:a].strip():
+            if self._text[self._text.rfind("\n", 0, a) + 1 : a].strip():
                 last = None
                 continue
             first = self._runs[last][0] if last == line - 1 and last in self._runs else a
@@ -291,7 +293,11 @@ class _Comments:
             last = until
 
     def line(self, offset: int) -> int:
-        return bisect_right(self._breaks, offset) + 1
+        """The line of an offset, counted from the place asked for before."""
+        at, line = self._last
+        line += self._text.count("\n", at, offset) if offset >= at else -self._text.count("\n", offset, at)
+        self._last = offset, line
+        return line
 
     def ending_at(self, line: int) -> tuple[int, int] | None:
         return self._runs.get(line)
@@ -311,10 +317,17 @@ def functions(extension: str, text: str, documented: bool = False) -> Iterator[t
             for n, (_, b) in enumerate(spans):
                 if n + 1 < len(spans) and not text[b : spans[n + 1][0]].strip():
                     continue  # the run of comments goes on
-                yield from _found(family, text, _window(family, text, b, close), comments, {0}, named)
+                limit = WINDOW
+                while True:  # more tokens as long as the grammar asks for them
+                    tokens, whole = _window(family, text, b, close, limit)
+                    made = list(_found(family, text, tokens, comments, [0], named, whole))
+                    if whole or not tokens.short:
+                        break
+                    limit *= 4
+                yield from made
             return
     tokens, spans = scan(family, text)
-    behind = {bisect_left(tokens.offsets, b) for _, b in spans} if documented else None
+    behind = sorted({bisect_left(tokens.offsets, b) for _, b in spans}) if documented else None
     yield from _found(family, text, tokens, _Comments(text, spans), behind, set())
 
 
@@ -324,7 +337,6 @@ _PY_OUTLINE = re.compile(
     re.S,
 )
 _PY_WORDS = re.compile(r"\b(?:async|def)\b")
-_PY_MARGIN = re.compile(r"(?:^|[\r\n;:])[ \t\f]*\Z")
 
 
 def _python(text: str) -> Iterator[tuple[str, int, int, int, str | None, set[str]]]:
@@ -347,9 +359,12 @@ def _python(text: str) -> Iterator[tuple[str, int, int, int, str | None, set[str
             anchors.append(at)
     comments, named, begun = _Comments(text, spans), set(), [a for a, _ in strings]
     for at in anchors:
-        if _PY_MARGIN.search(text, max(0, at - 400), at) is None:
+        margin = at
+        while margin and text[margin - 1] in " \t\f":
+            margin -= 1
+        if margin and text[margin - 1] not in "\r\n;:":
             continue
-        for name, line, start, end, doc, parameters in _found("py", text, _python_window(text, at), comments, {0}, named):
+        for name, line, start, end, doc, parameters in _found("py", text, _python_window(text, at), comments, [0], named):
             indent = start - (max(text.rfind("\n", 0, start), text.rfind("\r", 0, start)) + 1)
             stop = len(text)
             for m in re.compile(rf"[\r\n][ \t]{{0,{indent}}}(?=[^\s#])").finditer(text, end):
@@ -409,8 +424,8 @@ def _outline(family: str, text: str) -> tuple[list[tuple[int, int]], dict[int, i
     return spans, close
 
 
-def _window(family: str, text: str, at: int, close: dict[int, int]) -> Tokens:
-    """Tokens from an offset to the body of what may be defined there; a body is only its brackets."""
+def _window(family: str, text: str, at: int, close: dict[int, int], limit: int) -> tuple[Tokens, bool]:
+    """Tokens from an offset to the body of what may be defined there, and whether these are all, not only the first ``limit``; a body is only its brackets."""
     kinds, strings, offsets = [], [], []
     depth, pattern, going = 0, _SCANNERS[family], True
     while going:
@@ -439,22 +454,30 @@ def _window(family: str, text: str, at: int, close: dict[int, int]) -> Tokens:
                     offsets.append(end)
                     at, going = end + 1, True
                 break
-            elif s == ";" and not depth or depth < 0 or len(kinds) > 2000:
+            elif s == ";" and not depth or depth < 0:
                 break
-    return Tokens(kinds, strings, offsets, _RESERVED[family])
+            if len(kinds) >= limit:
+                return Tokens(kinds, strings, offsets, _RESERVED[family]), False
+    return Tokens(kinds, strings, offsets, _RESERVED[family]), True
+
 
+def _found(family: str, text: str, tokens: Tokens, comments: _Comments, behind: list[int] | None, named: set[int], whole: bool = True) -> Iterator[tuple[str, int, int, int, str | None, set[str]]]:
+    """Definitions among tokens; with ``behind``, only those that begin at these. ``named`` holds the offsets of names found.
 
-def _found(family: str, text: str, tokens: Tokens, comments: _Comments, behind: set[int] | None, named: set[int]) -> Iterator[tuple[str, int, int, int, str | None, set[str]]]:
-    """Definitions among tokens; with ``behind``, only those that begin at these. ``named`` holds the offsets of names found."""
+    Tokens that are not the ``whole`` give nothing where a match asked for more.
+    """
     peg = _peg(family)
     strings, kinds, offsets = tokens.strings, tokens.kinds, tokens.offsets
     anywhere = {"py": {"def", "async", "@"}, "js": {"function"}, "go": {"func"}, "rs": {"fn"}}.get(family, set())
     begin = {";", "{", "}", None} | ({",", ")", "(", "=", ":", "]"} if family == "js" else {")", "]", ">", ":"} if family == "cpp" else {")", "]"} if family in ("java", "rs") else set())
     i, n = 0, len(strings)
-    while i < n:
-        if behind is not None and i not in behind:
-            i += 1
-            continue
+    todo = iter(behind) if behind is not None else None
+    after = 0
+    while True:
+        if todo is not None:
+            i = next((k for k in todo if k >= after), n)
+        if i >= n:
+            return
         s = strings[i]
         if family in ("py", "go"):
             ready = s in anywhere
@@ -462,7 +485,7 @@ def _found(family: str, text: str, tokens: Tokens, comments: _Comments, behind:
             before = strings[i - 1] if i else None
             ready = s in anywhere or (kinds[i] == "i" or s in "@#[*~") and (before in begin or kinds[i - 1] in "ps" if i else True) or s == "template"
         found = peg.match("Definition", tokens, i) if ready and kinds[i] != "s" else None
-        if found is None:
+        if found is None or tokens.short and not whole:
             i += 1
             continue
         end, kept = found
@@ -490,7 +513,7 @@ def _found(family: str, text: str, tokens: Tokens, comments: _Comments, behind:
         shown = strings[name] if kinds[name] != "o" else "operator"
         yield shown, comments.line(offsets[name]), offsets[i], offsets[last] + len(strings[last]), doc, _parameters(family, tokens, *at["params"])
         # Functions inside others count; a C function holds none.
-        i = end if family == "c" else name + 1
+        i = after = end if family == "c" else name + 1
 
 
 def _parameters(family: str, tokens: Tokens, a: int, b: int) -> set[str]:
@@ -523,6 +546,7 @@ _CODE_LINE = re.compile(
     r"[;{}]\s*$|^\s*(?:return\b(?:\s+[\w.]+)?\s*(?:[-+*/%(\[;].*)?|\w+(?:\.\w+)*\s*(?::\w+)?\s*(?:[-+*/|&:]|<<|>>)?=[^=].*|\w+(?:\.\w+)*\([^)]*\);?|(?:if|while|elif)\b.*(?:[=!<>]=|[<>(]|\bnot\b).*[:{)]|for\b.*(?:\bin\b.*:|;.*)"
     r"|(?:def|func|fn|function|async def)\s+\w+\s*[(<].*|class\s+\w+\s*(?:[:({].*)?|(?:const|let|var|val)\s+\w+.*=.*|import\s+[\w{*\"'.]+(?:\s+from.*|\s+as.*|;)?|from\s+[\w.]+\s+import\b.*|#include.*|\}.*|[)\]]+[;,]?)\s*$"
 )
+_LETTER = re.compile(r"[^\W\d_]")
 _NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
@@ -536,10 +560,12 @@ def informative(doc: str, name: str, parameters: set[str], extension: str) -> in
     if _disabled(lines, extension):
         return 0
     body = _SECTION.sub("", "\n".join(lines))
-    body = _TAG.sub(" ", body)
-    body = _ITEM.sub(lambda m: " " if m[1].lower() in parameters else m[0], body)
+    if re.search(r"[@\\:<\[]", body):  # each tag has one of these
+        body = _TAG.sub(" ", body)
+    if parameters:
+        body = _ITEM.sub(lambda m: " " if m[1].lower() in parameters else m[0], body)
     own = {w.lower() for w in _NAME_WORDS.findall(name)} | {name.lower()}
-    return sum(1 for w in _WORD.findall(body) if (low := w.lower()) not in own and low not in parameters and not w.startswith("_") and re.search(r"[^\W\d_]", w))
+    return sum(1 for w in _WORD.findall(body) if (low := w.lower()) not in own and low not in parameters and w[0] != "_" and _LETTER.search(w))
 
 
 def _disabled(lines: list[str], extension: str) -> bool:

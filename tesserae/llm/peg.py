@@ -20,7 +20,10 @@ Match = tuple[int, tuple]
 
 
 class Tokens:
-    """Tokens of a text: kind, string, offset; closing positions of brackets. Reserved words are of kind KEY, not ID."""
+    """Tokens of a text: kind, string, offset; closing positions of brackets. Reserved words are of kind KEY, not ID.
+
+    ``short`` says that a match asked for a token, or a closing bracket, behind the last one.
+    """
 
     def __init__(self, kinds: list[str], strings: list[str], offsets: list[int], reserved: set[str] = frozenset()):
         self.kinds, self.strings, self.offsets, self.reserved = kinds, strings, offsets, reserved
@@ -32,6 +35,11 @@ class Tokens:
             elif stack:
                 self.close[stack.pop()] = i
         self.memo: dict = {}
+        self.short = False
+
+    def behind(self) -> None:
+        """What a terminal gives behind the last token."""
+        self.short = True
 
 
 class Peg:
@@ -124,18 +132,27 @@ class Peg:
     def _terminal(self, token: str):
         if token in _GROUPS:
             opening = _GROUPS[token]
-            return lambda tokens, i: (tokens.close[i] + 1, ()) if i in tokens.close and tokens.strings[i] == opening else None
+
+            def group(tokens: Tokens, i: int):
+                if i >= len(tokens.strings):
+                    return tokens.behind()
+                if tokens.strings[i] != opening:
+                    return None
+                end = tokens.close.get(i)
+                return tokens.behind() if end is None else (end + 1, ())
+
+            return group
         if token[0] == "'":
             wanted = token[1:-1]
-            return lambda tokens, i: (i + 1, ()) if i < len(tokens.strings) and tokens.strings[i] == wanted and tokens.kinds[i] != "s" else None
+            return lambda tokens, i: tokens.behind() if i >= len(tokens.strings) else (i + 1, ()) if tokens.strings[i] == wanted and tokens.kinds[i] != "s" else None
         if token == "Token":
-            return lambda tokens, i: (i + 1, ()) if i < len(tokens.kinds) else None
+            return lambda tokens, i: (i + 1, ()) if i < len(tokens.kinds) else tokens.behind()
         if token in ("ID", "KEY"):
             free, word = token == "ID", self._kinds["ID"]
-            return lambda tokens, i: (i + 1, ()) if i < len(tokens.kinds) and tokens.kinds[i] == word and (tokens.strings[i] not in tokens.reserved) == free else None
+            return lambda tokens, i: tokens.behind() if i >= len(tokens.kinds) else (i + 1, ()) if tokens.kinds[i] == word and (tokens.strings[i] not in tokens.reserved) == free else None
         if token in self._kinds:
             kind = self._kinds[token]
-            return lambda tokens, i: (i + 1, ()) if i < len(tokens.kinds) and tokens.kinds[i] == kind else None
+            return lambda tokens, i: tokens.behind() if i >= len(tokens.kinds) else (i + 1, ()) if tokens.kinds[i] == kind else None
         return lambda tokens, i: self.match(token, tokens, i)
 
     @staticmethod

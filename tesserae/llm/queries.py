@@ -121,7 +121,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions with their documentation, and the chunk that holds the definition."""
-    pairs = docpairs.extract(table(spark, sf_dir, "files")).distinct()
+    pairs = docpairs.extract(table(spark, sf_dir, "files")).dropDuplicates(["id", "name", "def_line"])
     chunks = table(spark, sf_dir, "chunks").select("chunk_id", F.col("file_id").alias("id"), F.col("metadata.start_line").alias("a"), F.col("metadata.end_line").alias("b")).distinct()
     placed = pairs.join(chunks, (pairs["id"] == chunks["id"]) & pairs["def_line"].between(chunks["a"], chunks["b"]), "left")
     return placed.select(pairs["id"].alias("file_id"), "chunk_id", "name", "def_line", "code", "doc")

@@ -66,3 +66,30 @@ def test_table(spark):
     got = sorted((r.id or 0, r.def_line, r.doc, r.code.startswith("def f")) for r in extract(df).collect())
     assert got == [(0, 1, DOC, True), (1, 1, DOC, True), (1, 1, DOC, True), (7, 30_001, DOC, True)]
     assert extract(df.limit(0)).count() == 0
+
+
+def test_long_headers_and_deep_margins():
+    """Headers of thousands of tokens and margins of any width are read whole."""
+    from tesserae.llm.docpairs import pairs
+
+    doc = "/** Adds up every one of the many values that are given. */\n"
+    java = "class A {\n" + doc + "int addAll(" + ", ".join(f"int a{i}" for i in range(3000)) + ") { return 1; }\n}\n"
+    assert [(p.name, p.def_line) for p in pairs("java", java)] == [("addAll", 3)]
+    cpp = doc + "Many::Many() : " + ", ".join(f"a{i}(0)" for i in range(3000)) + " { }\n"
+    assert [(p.name, p.def_line) for p in pairs("cpp", cpp)] == [("Many", 2)]
+    ts = doc + "function addAll(" + ", ".join(f"a{i}: number" for i in range(3000)) + "): number { return 1 }\n"
+    assert [(p.name, p.def_line) for p in pairs("ts", ts)] == [("addAll", 2)]
+    deep = "if a:\n" + " " * 5000 + "def shown(b):\n" + " " * 5001 + '"""Shows every one of the many given values."""\n'
+    assert [(p.name, p.def_line) for p in pairs("py", deep)] == [("shown", 2)]
+
+
+def test_comments_without_definitions_stay_cheap():
+    """Behind each comment a few tokens are read, not the rest of the text."""
+    import time
+
+    from tesserae.llm.docpairs import pairs
+
+    text = "// one more line of plain remarks here\nx = y + z\n" * 6000
+    begun = time.process_time()
+    assert list(pairs("js", text)) == []
+    assert time.process_time() - begun < 20
