@@ -859,29 +859,27 @@ _C_NUMBER = r"(?:0[xX][\da-fA-F_'.]+(?:[pP][+-]?\d+)?|0[bB][01_']+|(?:\d[\d_']*+
 
 def _plain_lexer(grammar: Grammar, literal: dict[str, str], pattern: re.Pattern, kinds: dict[str, str], ends: frozenset | None = None):
     """A lexer that drops blanks and comments; with ``ends``, a line break behind one of these tokens is a ``;``."""
-    identifier = grammar.alphabet.char("ID")
-    words = {t: c for t, c in literal.items() if re.match(r"[\w$]", t)}
-    chars = {k: grammar.alphabet.char(t) for k, t in kinds.items()}
+    chars = {k: grammar.alphabet.char(t) for k, t in kinds.items()} | {"i": grammar.alphabet.char("ID"), "z": "", "e": "\0", "l": ""}
     stop = grammar.alphabet.char(";")
+    known = literal.get
 
     def lexer(text: str) -> str | None:
-        out: list[str] = []
-        for m in pattern.finditer(text):
-            kind = m.lastgroup
-            if kind == "i":
-                out.append(words.get(m[kind], identifier))
-            elif kind == "o":
-                out.append(literal[m[kind]])
-            elif kind == "l":
-                if ends is not None and out and out[-1] in ends and "\n" in m[kind]:
-                    out.append(stop)
-            elif kind == "z":
-                break
-            elif kind == "e":
-                return None
-            else:
-                out.append(chars[kind])
-        return "".join(out)
+        if ends is None:
+            out = [known(m[k := m.lastgroup]) or chars[k] for m in pattern.finditer(text)]
+        else:
+            out, before = [], ""
+            for m in pattern.finditer(text):
+                k = m.lastgroup
+                s = m[k]
+                c = known(s) or chars[k]
+                if k == "l":
+                    if before not in ends or "\n" not in s:
+                        continue
+                    c = stop
+                out.append(c)
+                before = c
+        found = "".join(out)
+        return None if "\0" in found else found
 
     return lexer
 
@@ -1098,16 +1096,24 @@ def script_languages() -> dict[str, Language]:
             again = False
             for m in pattern.finditer(text, at):
                 kind = m.lastgroup
-                if kind == "l":
-                    fresh = fresh or "\n" in m[kind] or "\r" in m[kind]
-                    continue
                 if kind == "i":
                     c = words.get(m[kind], identifier)
-                    if c != identifier and before in property_signs:
+                    if c is not identifier and before in property_signs:
                         c = identifier
+                    if not fresh:
+                        out.append(c)
+                        before = c
+                        continue
+                elif kind == "l":
+                    fresh = fresh or "\n" in m[kind] or "\r" in m[kind]
+                    continue
                 elif kind == "o":
                     s = m[kind]
                     c = literal[s]
+                    if not fresh and s in plain_signs:
+                        out.append(c)
+                        before = c
+                        continue
                     if (s == "/" or s == "/=") and (before not in values or before in prefix_words):
                         r = regex.match(text, m.start(kind))
                         if r is None:
@@ -1147,6 +1153,7 @@ def script_languages() -> dict[str, Language]:
                     break
         return None if inside else len(text)
 
+    plain_signs = frozenset(literal) - frozenset(["/", "/=", *"()[]{}"])
     property_signs = frozenset({char("."), char("?.")})
     opens_block = frozenset({")", identifier})
 
