@@ -68,6 +68,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_within(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
+    """``df`` with a broadcast hint if its rows, of about so many bytes each, are known to fit; else as it is, for a join by exchange."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores.
 
