@@ -65,8 +65,14 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources that cannot reach their target share."""
-    weights = mixing.plan(mixing.sized(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets"))
-    return weights.filter("not reachable").select("source").distinct()
+    return mixing.short_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).distinct()
+
+
+def p8_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of present shares, exponentiated until they are as even as the targets are."""
+    targets = table(spark, sf_dir, "mix_targets").select("source", "target_share", "max_repeats")
+    shares = [r[0] for r in targets.groupBy("source").agg(F.max("target_share").alias("share")).filter("share > 0").select("share").collect()]
+    return mixing.plan(mixing.sized(table(spark, sf_dir, "documents")), targets, mixing.entropy(shares)).select("source", "tokens", "max_repeats", "exponent", "weight", "budget")
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,6 +150,7 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_items": p7_items,
     "p8_found": p8_found,
+    "p8_entropy": p8_entropy,
     "p8_report": p8_report,
     "p8_mix": p8_mix,
     "p6_found": p6_found,
