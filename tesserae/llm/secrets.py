@@ -1,10 +1,10 @@
 """Credentials embedded in source code and configuration.
 
-A value is a credential by two witnesses: how unnatural it is (few characters for each subword of a
-public vocabulary) and in what context it stands (the name it is assigned to, a header, a URL, a
-command option, a call, a remark). A strong context accepts any value that is no placeholder, no
-reference and no plain word; without one, only an unnatural value counts, and only if nothing around
-it says that it is a checksum, an id, an image or public. Redaction keeps every offset.
+Every candidate string is first judged by the subwords it falls into under a public vocabulary: words
+take few, keys many. The ceiling on its characters for each subword depends on the context (the name
+it is assigned to, a header, a URL, a command option, a call, a remark, or none), and only what lies
+below it is held against the rules of that context: no placeholder, no reference, and nothing around it that says
+that it is a checksum, an id, an image or public. Redaction keeps every offset.
 """
 
 from __future__ import annotations
@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.tokens import chars_per_token
+from tesserae.llm.tokens import chars_per_token, count
 from tesserae.plans.runtime import spread
 
 #: A value with fewer characters for each subword than this is unnatural; words have about four or more.
 UNNATURAL = 2.4
+#: The most characters for each subword that a value may have by the context it stands in.
+CEILING = {"none": UNNATURAL, "key block": UNNATURAL, "call": 3.5, "remark": 3.5, "name": 4.0, "header": 4.0, "url": 6.0}
 #: Shortest unnatural value that counts without a context.
 LONG = 18
 
@@ -65,6 +67,8 @@ _PRIVATE = re.compile(r"(?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?")
 #: Between marks this far apart there is a key only if nothing else stands there.
 _FAR = 12_000
 _KEY_BODY = re.compile(r"[A-Za-z0-9+/=\s\\\"'`,.:()@<>\-]*+")
+#: What belongs to a block that breaks off before its END mark: runs of base64, short ones only last, and header lines.
+_KEY_RUN = re.compile(r"(?:(?:\\[nrt]|[\s\"'`+,\\]|(?:Proc-Type|DEK-Info|Version|Comment|Hash):[^\r\n\\]*+)*+[A-Za-z0-9+/=]{20,}+)+(?:(?:\\[nrt]|[\s\"'`+,\\]){1,8}[A-Za-z0-9+/]{1,19}+={0,2}(?=[\s\"'`\\]|\Z))?")
 #: What tells a long token from data: three to five parts with a JSON header, or a prefix that names its issuer.
 _LONG_TOKEN = re.compile(r"ey[JK][\w\-]++(?:\.[\w\-]*+){2,4}=*|[A-Za-z][A-Za-z0-9]{1,11}[\-_.][\w.\-+/]++=*")
 _URL = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]{1,20}:/{1,2}(?P<user>[^\s:/@'\"<>]*+):(?P<value>[^\s/@'\"<>]{3,}+)@[\w.\-\[{$]")
@@ -78,7 +82,7 @@ _OPTION = re.compile(r"(?<![\w-])--?(?P<name>[A-Za-z][\w\-]*)(?:=|\s+)(?P<q>['\"
 _BASIC = re.compile(r"(?:\s-u|--user)\s*[= ]?\s*['\"]?(?P<user>[\w.\-]+):(?P<value>[^\s'\"`@]{4,}+)")
 _QUERY = re.compile(r"[?&;](?P<name>[\w.\-]{2,40})=(?P<value>[^\s&#'\"`<>;]{4,}+)")
 _REMARK = re.compile(
-    r"(?i)\b(?:pass(?:word|wd|phrase|code)?|pw|pwd|secret|token|credentials?|creds?|log[- ]?in|sign[- ]?in|(?:api |old |new |signing |access |master |private )?key|rotation|pin)\b[ :,](?P<rest>[^\n\r'\"`=(]{6,160})"
+    r"(?i)\b(?:pass(?:word|wd|phrase|code)?|pw|pwd|secret|token|credentials?|creds?|log[- ]?in|sign[- ]?in|(?:api |old |new |signing |access |master |private )?key|rotation|pin)\b[ :,](?P<rest>[^\n\r'\"`=(]{6,})"
 )
 _REMARK_VALUE = re.compile(r"(?<![^\s/:,(<])[^\s,;()<>\[\]/]{8,}+")
 _NAME_REMARK = re.compile(r"(?i)(?:pass(?:word|wd|phrase|code)?|pw|pwd|secret|token|credential|api[_\-]?key)[_\-](?:is|was)[_\-](?P<value>[^\s/?&]{4,}+)")
@@ -87,9 +91,23 @@ _CALL_NAMES = re.compile(r"(?i)(?:^|[._:])\w*?(?:connect|log_?in|sign(?:_?with|_
 _ARGUMENT = re.compile(r"(?P<q>[\"'`])(?P<value>(?:(?!(?P=q))[^\\\r\n]|\\.)+)(?P=q)")
 _LITERAL_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_\-.])(?P<value>[A-Za-z0-9_][A-Za-z0-9_\-.+/]{%d,}+=*)" % (LONG - 1))
 _REST_OF_WORD = re.compile(r"[^\s'\"`=(]*+")
+_DIGIT = re.compile(r"\d")
+_LETTERS = re.compile(r"[a-z]{16,}|[A-Z]?[a-z]+(?:[A-Z][a-z]+){2,}")
+_PASSWORDS = ("password", "passwd", "passphrase", "pwd", "secret")
 _PROGRESS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*|\d+")
 
 
+def rare(value: str, context: str) -> bool:
+    """Whether a value has few enough characters for each subword for its context."""
+    return chars_per_token(value) < CEILING[context]
+
+
+def passphrase(name: str, value: str) -> bool:
+    """Whether words without anything between them are given to a password: a run of letters that is no word, name or type."""
+    words = words_of(name)
+    return bool(words) and words[-1] in _PASSWORDS and _LETTERS.fullmatch(value) is not None and count(value) >= 3 and not _PLACEHOLDER.search(value) and not any(w in value.lower() for w in _PASSWORDS)
+
+
 @functools.lru_cache(maxsize=1 << 16)
 def names_secret(name: str) -> bool:
     """Whether a name says that its value is a credential, not something about one."""
@@ -111,9 +129,9 @@ def _names_secret(words: list[str]) -> bool:
     return not any(w in _ABOUT for w in words)
 
 
-def plausible(value: str) -> bool:
-    """Whether a value in a strong context can be a credential: no placeholder, reference or plain word."""
-    if len(value) < 5 or _PLACEHOLDER.search(value) or _UUID.fullmatch(value):
+def plausible(value: str, context: str = "name") -> bool:
+    """Whether a value in a context can be a credential: made of rare subwords, no placeholder, reference or plain word."""
+    if len(value) < 5 or not rare(value, context) or _PLACEHOLDER.search(value) or _UUID.fullmatch(value):
         return False
     body = re.sub(r"[^0-9A-Za-z]", "", value)
     if len(body) < 4 or len(set(body)) < 4 or len(set(value)) < 5:
@@ -133,7 +151,7 @@ def plausible(value: str) -> bool:
 
 def unnatural(value: str) -> bool:
     """Whether a value alone looks like a random key: few characters for each subword, mixed kinds."""
-    if len(value) < LONG or _PLACEHOLDER.search(value) or _UUID.search(value):
+    if len(value) < LONG or _DIGIT.search(value) is None or not rare(value.strip("=.-_/"), "none") or _PLACEHOLDER.search(value) or _UUID.search(value):
         return False
     body = value.strip("=.-_/")
     if not (re.search(r"\d", body) and re.search(r"[A-Za-z]", body)) or len(set(body)) < 10:
@@ -145,7 +163,7 @@ def unnatural(value: str) -> bool:
         core = max(parts, key=len)
         if len(core) < 16 and not re.match(r"ey[JK][A-Za-z0-9]", body) and len(re.findall(r"[A-Z]", body)) < 4:
             return False
-    return chars_per_token(body) < UNNATURAL
+    return True
 
 
 def _benign_context(text: str, start: int, end: int) -> bool:
@@ -185,19 +203,26 @@ def _bulk(text: str, start: int, end: int) -> bool:
 
 
 def _blocks(text: str, label: re.Pattern) -> list[tuple[int, int, re.Match, int]]:
-    """(start, end, BEGIN mark, start of the END mark) of armoured blocks: from a BEGIN with such a label to the next END."""
-    out, begun = [], []
+    """(start, end, BEGIN mark, end of the body) of armoured blocks: from a BEGIN with such a label to the next END, or to the end of the base64 that follows."""
+    out, begun, open_ = [], [], []
     for m in _MARK.finditer(text) if "-----" in text else ():
         if m["label"] is not None:
             if label.fullmatch(m["label"]):
                 begun.append(m)
             continue
-        for b in begun:
+        for i, b in enumerate(begun):
             if m.start() - b.end() <= _FAR or _KEY_BODY.fullmatch(text, b.end(), m.start()):
                 out.append((b.start(), m.end(), b, m.start()))
+                open_ += begun[:i]
                 break
+        else:
+            open_ += begun
         begun = []
-    return out
+    for b in [*open_, *begun]:
+        run = _KEY_RUN.match(text, b.end())
+        if run and not any(x <= b.start() < y for x, y, *_ in out):
+            out.append((b.start(), run.end(), b, run.end()))
+    return sorted(out, key=lambda x: x[:2])
 
 
 def find_secrets(text: str) -> list[Finding]:
@@ -209,19 +234,19 @@ def find_secrets(text: str) -> list[Finding]:
         if not any(a <= start < b for a, b in blocks):
             found.append(Finding(start, end, kind))
 
-    for start, _, mark, end in _blocks(text, _PRIVATE):
+    for start, until, mark, end in _blocks(text, _PRIVATE):
         body = re.sub(r"\\[nrt]|[^A-Za-z0-9+/=]", "", text[mark.end() : end])
-        if len(body) >= 40 and not _PLACEHOLDER.search(text[mark.end() : min(end, mark.end() + 200)]) and len(set(body)) > 12:
-            found.append(Finding(start, end + len("-----END"), "private key"))
+        if len(body) >= 40 and not _PLACEHOLDER.search(text[mark.end() : min(end, mark.end() + 200)]) and len(set(body)) > 12 and rare(body, "key block"):
+            found.append(Finding(start, end + len("-----END") if until > end else end, "private key"))
     for m in _URL.finditer(text):
         value = m["value"]
-        if not _PLACEHOLDER.search(value) and not value.startswith(("$", "%", "{", "<")) and not _REFERENCE.fullmatch(value) and value.lower() not in ("password", "pass", "passwd", "secret", "token", "pw", "user", "pwd") and len(set(value)) > 2:
+        if rare(value, "url") and not _PLACEHOLDER.search(value) and not value.startswith(("$", "%", "{", "<")) and not _REFERENCE.fullmatch(value) and value.lower() not in ("password", "pass", "passwd", "secret", "token", "pw", "user", "pwd") and len(set(value)) > 2:
             add(*m.span("value"), "url")
     named = any(mark in text for mark in ("_is_", "-is-", "_was_", "-was-"))
     for pattern, kind in ((_HEADER, "header"), (_BASIC, "command"), *([(_NAME_REMARK, "remark")] if named else [])):
         for m in pattern.finditer(text):
             value = m["value"].rstrip(".") if kind != "remark" else re.sub(r"\.(?:md|txt|rst|json|ya?ml|log|csv|py|js)$", "", m["value"])
-            if plausible(value) and not _REFERENCE.fullmatch(value):
+            if plausible(value, "remark" if kind == "remark" else "header") and not _REFERENCE.fullmatch(value):
                 add(m.start("value"), m.start("value") + len(value), kind)
     for pattern, kind in ((_OPTION, "option"), (_QUERY, "query")):
         for m in pattern.finditer(text):
@@ -245,7 +270,7 @@ def find_secrets(text: str) -> list[Finding]:
             value = value[header.end() :]
         else:
             start = m.start(which)
-        if plausible(value) and not (len(value) > 600 and re.search(r"\s", value)):  # so long with blanks is a text
+        if plausible(value) and not (len(value) > 600 and re.search(r"\s", value)) or which == "quoted" and passphrase(m["name"], value):  # so long with blanks is a text
             add(start, end, "assignment")
     for m in _CALL.finditer(text):
         if _CALL_NAMES.search(m["name"]):
@@ -255,15 +280,15 @@ def find_secrets(text: str) -> list[Finding]:
                 first -= 1
             if literals:
                 value, span = "".join(a["value"] for a in literals[first:]), (literals[first].start("value"), literals[-1].end("value"))
-                if (len(value) > 7 and plausible(value) and not re.search(r"\s|/", value) and re.search(r"[A-Za-z]{3}\D*\d|[\d][A-Za-z]", value) and not _REFERENCE.fullmatch(value) and not re.fullmatch(r"[\w\-]+(?:\.[\w\-]+)+(?::\d+)?", value) or unnatural(value)):
+                if (len(value) > 7 and plausible(value, "call") and not re.search(r"\s|/", value) and re.search(r"[A-Za-z]{3}\D*\d|[\d][A-Za-z]", value) and not _REFERENCE.fullmatch(value) and not re.fullmatch(r"[\w\-]+(?:\.[\w\-]+)+(?::\d+)?", value) or unnatural(value)):
                     add(*span, "call")
-                elif len(value) > 7 and plausible(value) and re.fullmatch(r"[A-Za-z]{3,}[.][A-Za-z]{3,}\d{2,}", value):
+                elif len(value) > 7 and plausible(value, "call") and re.fullmatch(r"[A-Za-z]{3,}[.][A-Za-z]{3,}\d{2,}", value):
                     add(*span, "call")
     for m in _REMARK.finditer(text):
         for v in _REMARK_VALUE.finditer(text, m.start("rest"), _REST_OF_WORD.match(text, m.end("rest")).end()):
             value = v[0].rstrip(".:!?")
             shaped = re.fullmatch(r"[A-Za-z]{2,}[\W_]?[A-Za-z]*\d{2,}|\S*[A-Za-z]\d\S*\d\S*", value)
-            if shaped and _in_prose(text, m.start()) and plausible(value) and not _REFERENCE.fullmatch(value) and not _benign_context(text, v.start(), v.end()):
+            if shaped and _in_prose(text, m.start()) and plausible(value, "remark") and not _REFERENCE.fullmatch(value) and not _benign_context(text, v.start(), v.end()):
                 add(v.start(), v.start() + len(value), "remark")
                 break
     for m in _LITERAL_TOKEN.finditer(text):
