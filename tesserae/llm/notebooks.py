@@ -15,6 +15,7 @@ class Cell(NamedTuple):
     text: str
 
 
+_OPENING = re.compile(r"\s*+\{")
 _MARKER = re.compile(r"^# ?%%(.*)$", re.M)
 _PROMPT = re.compile(r"^(In|Out) ?\[(?:\d*| |None|\*)\]: ?", re.M)
 _CONTINUED = re.compile(r"^ {2,}\.\.\.: ?", re.M)
@@ -26,8 +27,7 @@ _JSON_STRING = re.compile(r'"((?:[^"\\]|\\.)*)"(\s*:)?', re.S)
 
 def cells(text: str) -> list[Cell]:
     """The cells of a notebook text, whatever its form; outputs are cells of their own."""
-    head = text[:200].lstrip()
-    if head.startswith("{"):
+    if _OPENING.match(text):
         return _from_json(text)
     if _MARKER.search(text):
         return _from_percent(text)

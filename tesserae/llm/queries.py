@@ -101,6 +101,11 @@ def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share.join(sizes, "doc_id").groupBy("subject").agg(F.round(F.sum("share"), 3).alias("documents"), F.round(F.sum(F.col("share") * F.col("chars")), 1).alias("chars"))
 
 
+def p9_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds of the subjects and how they did on labelled documents left out."""
+    return subjects.calibration(*(table(spark, sf_dir, name) for name in ("documents", "subjects", "subject_labels")))
+
+
 def p4_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that nobody wrote by hand, with the kind found."""
     return provenance.classify(table(spark, sf_dir, "files")).select(F.col("id").alias("file_id"), "kind", "score")
@@ -147,6 +152,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p9_found": p9_found,
     "p9_composition": p9_composition,
+    "p9_calibration": p9_calibration,
     "p7_found": p7_found,
     "p7_items": p7_items,
     "p8_found": p8_found,

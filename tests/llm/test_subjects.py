@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tesserae.llm.subjects import areas, sentences, subject_models
+from tesserae.llm.subjects import areas, calibration, sentences, subject_models
 
 TERMS = {
     "law": ["appeal rulings", "contract clauses", "tribunal hearings", "witness lists", "tenancy cases"],
@@ -67,18 +67,38 @@ def test_held_out_accuracy(spark, tables):
     assert all(len(set(v)) <= 2 for v in got.values())
 
 
-def test_words_seen_once_in_the_sample_are_counted_in_the_corpus(spark, tables, monkeypatch):
-    monkeypatch.setattr("tesserae.llm.subjects.UNLABELLED", 0)
+def test_words_seen_once_in_the_sample_are_counted_in_the_corpus(spark, tables):
     rng, rare = random.Random(5), [f"zebra{c}" for c in "abcdefghijkl"]
     docs = [(i, f"# %% [markdown]\n# We compare appeal rulings of {w} with contract clauses.") for i, w in enumerate(rare)]
     docs += [(100 + i, "# %% [markdown]\n# " + prose(rng, s, 6)) for i, s in enumerate(sorted(TERMS) * 10)]
     labels = [(i, i, "law") for i in range(len(rare))] + [(100 + i, 100 + i, s) for i, s in enumerate(sorted(TERMS) * 10)]
     docs += [(1000 + i, f"# %% [markdown]\n# A note on {w}.") for i, w in enumerate(rare * 40)]
-    models, _ = subject_models(*frames(spark, (docs, None, labels)))
+    models, *_ = subject_models(*frames(spark, (docs, None, labels)))
     assert all(w in models.rows for w in rare)
     assert models.gains([(w,) for w in rare]).max() < 0
 
 
+def test_thresholds_are_calibrated_at_any_size(spark, tables):
+    docs, _, labels = tables
+    for most in (400, 24):
+        some = [x for x in labels if x[1] is not None and x[1] < most]
+        report = calibration(*frames(spark, (docs, None, some))).collect()
+        assert len(report) == 3 and sum(r.documents for r in report) == len({x[1] for x in some if x[2] and x[2].strip().lower() in TERMS})
+        assert all(r.precision > 0.5 and r.recall > 0.5 for r in report) or most == 24
+    assert calibration(*frames(spark, (docs, None, []))).count() == 0
+
+
+def test_words_of_the_sample_are_bounded(spark, tables, monkeypatch):
+    monkeypatch.setattr("tesserae.llm.subjects.LABELLED_WORDS", 300)
+    report = calibration(*frames(spark, tables)).collect()
+    assert 1 <= sum(r.documents for r in report) < 20
+
+
+def test_json_behind_blanks():
+    text = '{"cells": [{"cell_type": "markdown", "source": ["One two."]}]}'
+    assert sentences("\n" * 500 + text) == sentences(text) == ([("one", "two")], [])
+
+
 def test_nothing_to_learn_from(spark, tables):
     docs, subjects, labels = frames(spark, tables)
     assert areas(docs, subjects, labels.limit(0)).count() == 0
