@@ -111,6 +111,11 @@ def p4_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.classify(table(spark, sf_dir, "files")).select(F.col("id").alias("file_id"), "kind", "score")
 
 
+def p4_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Borders of the kinds and how the classifiers did on repositories left out."""
+    return provenance.validation(table(spark, sf_dir, "files"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that nobody wrote by hand."""
     return p4_kinds(spark, sf_dir).select("file_id").distinct()
@@ -149,6 +154,7 @@ QUERIES = {
     "p1_rates": p1_rates,
     "p1_found": p1_found,
     "p4_kinds": p4_kinds,
+    "p4_validation": p4_validation,
     "p4_found": p4_found,
     "p9_found": p9_found,
     "p9_composition": p9_composition,
