@@ -31,7 +31,7 @@ GENERATED, MINIFIED, VENDORED, BULK, WRITTEN = "generated", "minified", "vendore
 KINDS = (GENERATED, MINIFIED, VENDORED, BULK)
 #: Files that the classifiers are fitted on, at most, of each kind and without a giveaway, the first by a hash of
 #: their id; and features of them together.
-SAMPLE_KIND, SAMPLE_OTHER = 1000, 4000
+SAMPLE_KIND, SAMPLE_OTHER = 800, 3200
 SAMPLE_FEATURES = 24_000_000
 BITS = 17
 GRAM_SIZES = (4, 7)
@@ -39,7 +39,7 @@ EPOCHS = 10
 #: Parts of the repositories for validation.
 FOLDS = 3
 #: Five-word shingles of a file, those of least hash, that are looked up among the shingles of vendored files.
-SHINGLES = 32
+SHINGLES = 16
 #: Shares of these found there, from which a file is in the next class; 0.8 and more is a copy.
 SHARES = (0.2, 0.5, 0.8)
 #: Borders that are tried on the repositories left out.
@@ -68,6 +68,9 @@ _GEN_NAME = re.compile(r"(?i)(?:\.pb\.(?:go|cc|h)|_pb2(?:_grpc)?\.py|_pb\.(?:js|
 _LITERAL = re.compile(r"0[xX][0-9a-fA-F]+|[-+]?\b\d[\d_.]*(?:[eE][-+]?\d+)?|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|(?<=\n)[A-Za-z0-9+/=]{40,}(?=\n)")
 
 
+_SEPARATORS = dict.fromkeys(map(ord, " \t\r\n\f\v,;()[]{}"))
+
+
 def extension(name: str | None) -> str:
     """The extension of a path, lower case; empty for names without one."""
     last = (name or "").rsplit("/", 1)[-1]
@@ -86,9 +89,9 @@ def leading_comments(text: str) -> int:
 
 def literal_share(text: str) -> float:
     """Share of literals among the characters that are no blanks or separators."""
-    body = re.sub(r"[\s,;()\[\]{}]", "", text)
-    inside = sum(len(re.sub(r"[\s,;()\[\]{}]", "", m)) for m in _LITERAL.findall("\n" + text + "\n"))
-    return inside / len(body) if body else 0.0
+    body = len(text.translate(_SEPARATORS))
+    inside = len("".join(_LITERAL.findall("\n" + text + "\n")).translate(_SEPARATORS))
+    return inside / body if body else 0.0
 
 
 def giveaway(name: str | None, text: str) -> str | None:
@@ -256,6 +259,11 @@ def _fit(rows: list[np.ndarray], share: np.ndarray, wanted: np.ndarray, use: np.
     return fit_svm([rows[i] for i in use], share[use], here, np.where(here, 10.0 * balance, 10.0))
 
 
+def _key():
+    """Stands for a file's id and name in joins."""
+    return F.xxhash64("id", "name")
+
+
 def shingles(text: str) -> np.ndarray:
     """Sorted distinct hashes of the five-word shingles of a text without its leading comments."""
     words = np.fromiter(map(hash_word, _WORD.findall(masked_text(text))), np.uint64)
@@ -278,7 +286,7 @@ def hash_word(word: str) -> int:
 
 
 def _facts(rows: DataFrame) -> DataFrame:
-    """``id``, ``name``, ``repo``, ``kind`` by giveaway, ``hashes`` of each file: of a vendored one all its shingles, of another those of least hash."""
+    """``id``, ``name``, ``repo``, ``k``, ``kind`` by giveaway, ``hashes`` of each file: of a vendored one all its shingles, of another those of least hash; k stands for id and name."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,21 +296,24 @@ def _facts(rows: DataFrame) -> DataFrame:
                 kinds.append(kind)
                 found = shingles(text) if kind in (None, VENDORED) else np.empty(0, np.int64)
                 hashes.append(found if kind == VENDORED else found[:SHINGLES])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "name", "repo")), pa.array(kinds, pa.string()), pa.array(hashes, pa.list_(pa.int64()))], names=["id", "name", "repo", "kind", "hashes"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "name", "repo", "k")), pa.array(kinds, pa.string()), pa.array(hashes, pa.list_(pa.int64()))], names=["id", "name", "repo", "k", "kind", "hashes"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return spread(rows).mapInArrow(look, f"id {kind}, name string, repo string, kind string, hashes array<bigint>")
+    return spread(rows.withColumn("k", _key())).mapInArrow(look, f"id {kind}, name string, repo string, k bigint, kind string, hashes array<bigint>")
 
 
 def _shares(facts: DataFrame) -> DataFrame:
-    """``id``, ``name``, ``share``: class of the share of a file's shingles that stand in vendored files other than itself; files of class 0 have no row."""
-    vendored = facts.filter(F.col("kind") == VENDORED).select("id", "name", F.explode("hashes").alias("h"))
-    known = vendored.groupBy("h").agg((F.min(F.struct("id", "name")) != F.max(F.struct("id", "name"))).alias("several"))
-    asked = facts.filter(F.col("kind").isNull() | (F.col("kind") == VENDORED)).select("id", "name", (F.col("kind") == VENDORED).alias("own"), F.slice("hashes", 1, SHINGLES).alias("hashes"))
-    asked = asked.select("id", "name", F.coalesce("own", F.lit(False)).alias("own"), F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
-    hits = asked.join(known, "h").filter(~F.col("own") | F.col("several")).groupBy("id", "name", "n").agg(F.countDistinct("h").alias("hits"))
+    """``k``, ``share``: class of the share of a file's shingles that stand in vendored files other than itself; files of class 0 have no row.
+
+    A shingle that a third of all files hold meets one row of the known ones; adaptive execution splits its side.
+    """
+    own = F.coalesce(F.col("kind") == VENDORED, F.lit(False))
+    known = facts.filter(own).select("k", F.explode("hashes").alias("h")).groupBy("h").agg((F.min("k") != F.max("k")).alias("several"))
+    asked = facts.filter(own | F.col("kind").isNull()).select("k", own.alias("own"), F.slice("hashes", 1, SHINGLES).alias("hashes"))
+    asked = asked.select("k", "own", F.size("hashes").alias("n"), F.explode("hashes").alias("h"))
+    hits = asked.join(known, "h").filter(~F.col("own") | F.col("several")).groupBy("k").agg(F.max("n").alias("n"), F.size(F.collect_set("h")).alias("hits"))  # at most SHINGLES each
     share = sum(((F.col("hits") >= s * F.col("n")).cast("int") for s in SHARES), F.lit(0))
-    return hits.select("id", "name", share.alias("share")).filter("share > 0").groupBy("id", "name").agg(F.max("share").alias("share"))
+    return hits.select("k", share.alias("share")).filter("share > 0")
 
 
 def _source(df: DataFrame, id_col: str, repo_col: str, name_col: str, text_col: str) -> DataFrame:
@@ -315,24 +326,27 @@ def _fitted(rows: DataFrame) -> tuple[DataFrame, tuple[Classifiers, list[Report]
     """Shares of the rows, and the classifiers fitted on a sample of them."""
     facts = cut(_facts(rows))
     shares = cut(_shares(facts))
-    order = F.xxhash64(F.lit(5), "id", "name").alias("o")
-    picked = facts.select("id", "name", "repo", "kind", order).distinct()
+    order = F.xxhash64(F.lit(5), "k").alias("o")
     some = None
     for kind in (*KINDS, None):
-        part = picked.filter(F.col("kind").eqNullSafe(F.lit(kind))).orderBy("o", "id", "name", "repo").limit(SAMPLE_KIND if kind else SAMPLE_OTHER)
+        size = SAMPLE_KIND if kind else SAMPLE_OTHER
+        picked = facts.filter(F.col("kind").eqNullSafe(F.lit(kind))).select("k", "repo", "kind", order)
+        part = picked.orderBy("o", "k", "repo").limit(2 * size).distinct().orderBy("o", "k", "repo").limit(size)  # rows may be delivered twice
         some = part if some is None else some.union(part)
-    some = cut(some.join(shares, ["id", "name"], "left").select("id", "name", "repo", "kind", "o", F.coalesce("share", F.lit(0)).alias("share")))
+    some = cut(F.broadcast(some).join(shares, "k", "left").select("k", "repo", "kind", "o", F.coalesce("share", F.lit(0)).alias("share")))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(n, t).astype(np.int32) for n, t in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("name"), pa.array(found, pa.list_(pa.int32())), pa.array(map(len, found), pa.int64())], names=["id", "name", "found", "size"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    chosen = rows.join(F.broadcast(some.select("id", "name")), ["id", "name"], "left_semi").select("id", "name", "text")
-    taken = cut(chosen.mapInArrow(take, f"id {kind}, name string, found array<int>, size bigint").join(F.broadcast(some), ["id", "name"]))
-    before = F.coalesce(F.sum("size").over(Window.orderBy("o", "id", "name", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # of a bounded sample
-    table = taken.withColumn("before", before).filter(F.col("before") < SAMPLE_FEATURES).orderBy("o", "id", "name", "size").select("repo", "kind", "share", "found").toArrow()
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(found, pa.list_(pa.int32())), pa.array(map(len, found), pa.int64())], names=["k", "found", "size"])
+
+    chosen = rows.select(_key().alias("k"), "name", "text").join(F.broadcast(some.select("k")), "k", "left_semi")
+    taken = cut(chosen.mapInArrow(take, "k bigint, found array<int>, size bigint").join(F.broadcast(some), "k"))
+    sizes = taken.groupBy("o").agg(F.sum("size").alias("size"))  # of a bounded sample
+    before = F.sum("size").over(Window.orderBy("o").rowsBetween(Window.unboundedPreceding, -1))
+    last = sizes.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < SAMPLE_FEATURES).agg(F.max("o")).first()[0]
+    table = taken.filter(F.col("o") <= last).select("o", "size", "repo", "kind", "share", "found").toArrow() if last is not None else taken.limit(0).toArrow()
+    table = table.sort_by([("o", "ascending"), ("size", "ascending"), ("repo", "ascending")])
     sample = [Example(r, k, s, np.asarray(f.values)) for r, k, s, f in zip(*(table.column(c).to_pylist() for c in ("repo", "kind", "share")), table.column("found"))]
     return shares, train(sample) if sample else None
 
@@ -352,7 +366,7 @@ def classify(df: DataFrame, id_col: str = "file_id", repo_col: str = "repo", nam
     if made is None:
         return spark.createDataFrame([], f"id {kind}, kind string, score double")
     shared = spark.sparkContext.broadcast(made[0])
-    most = float(made[0].shares.max())
+    most = made[0].shares.max(axis=1)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
@@ -360,10 +374,10 @@ def classify(df: DataFrame, id_col: str = "file_id", repo_col: str = "repo", nam
             names, texts = (batch.column(c).to_pylist() for c in ("name", "text"))
             scores = np.array([fitted.scores(features(n, t)) for n, t in zip(names, texts)]).reshape(-1, len(KINDS))
             open_ = np.flatnonzero((scores + most > fitted.borders).any(axis=1))  # no share can lift the others over a border
-            kept = batch.select(["id", "name"]).take(pa.array(open_))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(list(scores[open_]), pa.list_(pa.float64()))], names=["id", "name", "scores"])
+            kept = batch.select(["id", "k"]).take(pa.array(open_))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(list(scores[open_]), pa.list_(pa.float64()))], names=["id", "k", "scores"])
 
-    scored = spread(rows.select("id", "name", "text")).mapInArrow(judge, f"id {kind}, name string, scores array<double>").join(shares, ["id", "name"], "left")
+    scored = spread(rows.select("id", "name", "text", _key().alias("k"))).mapInArrow(judge, f"id {kind}, k bigint, scores array<double>").join(shares, "k", "left")
     lift = F.array(*(F.element_at(F.array(*map(F.lit, map(float, made[0].shares[k] - made[0].borders[k]))), F.coalesce("share", F.lit(0)) + 1) for k in range(len(KINDS))))
     scored = scored.withColumn("scores", F.zip_with("scores", lift, lambda a, b: a + b)).withColumn("score", F.array_max("scores")).filter("score > 0")
     return scored.select("id", F.element_at(F.array(*map(F.lit, KINDS)), F.array_position("scores", F.col("score")).cast("int")).alias("kind"), "score")
