@@ -9,14 +9,14 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from tesserae.functions.columns import cosine
+from tesserae.functions.columns import cosine, result_key
 from tesserae.operators import answer, index, retrieve, rules
 from tesserae.operators.embed import EmbeddingError, embed_texts
 from tesserae.plans.runtime import local_session
 from tesserae.settings import Settings, load_settings
-from tesserae.sources.changes import parse_changes
+from tesserae.sources.changes import parse_changes, readable
 from tesserae.sources.git import commit_state
-from tesserae.sources.repo_tree import read_tree
+from tesserae.sources.repo_tree import read_files, read_tree
 from tesserae.sources.snapshot import SnapshotStore
 
 
@@ -58,16 +58,16 @@ def _existing(settings: Settings) -> str:
 def run_index(spark, settings: Settings) -> dict:
     root = str(settings.repo_root)
     head = commit_state(root)[0]
-    report = index.index_tree(SnapshotStore(spark, str(settings.index_path)), read_tree(spark, root), _patterns(root), settings.embedding, head)
-    return report
+    store = SnapshotStore(spark, str(settings.index_path))
+    return index.index_tree(store, read_tree(spark, root), _patterns(root), settings.embedding, head, lambda paths: read_files(paths, root), lambda: read_tree(spark, root, contents=False), lambda: commit_state(root)[0])
 
 
 def run_reindex(spark, settings: Settings, raw: bytes) -> dict:
     root = str(settings.repo_root)
     head, parent = commit_state(root)
-    rows = [(i, c.status, c.path, c.new_path) for i, c in enumerate(parse_changes(raw))]
+    rows = [(i, *readable(c)) for i, c in enumerate(parse_changes(raw))]
     changes = spark.createDataFrame(rows, "ord int, status string, path string, new_path string")
-    return index.reindex(SnapshotStore(spark, _existing(settings)), changes, read_tree(spark, root), _patterns(root), settings.embedding, head, parent)
+    return index.reindex(SnapshotStore(spark, _existing(settings)), changes, lambda paths: read_files(paths, root), _patterns(root), settings.embedding, head, parent, lambda: commit_state(root)[0])
 
 
 def run_ask(spark, settings: Settings, question: str, client: answer.ModelClient | None = None) -> str:
@@ -86,6 +86,7 @@ def run_ask(spark, settings: Settings, question: str, client: answer.ModelClient
 
 def retrieve_context(asked, chunks, top_k: int, max_chars: int):
     """Chunks for the prompts of ``asked(question_id, question, vector)``, exact hits before vector hits."""
+    chunks = chunks.withColumn("chunk_id", result_key(*map(F.col, ("chunk_id", "file", "start_line", "end_line", "symbol", "text"))))
     terms = retrieve.query_terms(asked)
     found = retrieve.exact_matches(terms, chunks.select("chunk_id", "file", "symbol", "text"))
     scored = found.join(chunks.select("chunk_id", "file", "start_line", "vector"), "chunk_id").join(F.broadcast(asked.select("question_id", F.col("vector").alias("qv"))), "question_id")
@@ -113,6 +114,10 @@ def main(argv: list[str] | None = None) -> int:
         else:
             print(run_ask(spark, settings, args.question))
             return 0
+        for row in report.pop("removed").toLocalIterator() if "removed" in report else ():
+            print(f"removed {row['file']}")
+        if not report.pop("commit_moved", True):
+            print("tesserae: errors, or HEAD changed during the run; the commit of the index stays", file=sys.stderr)
         print(", ".join(f"{k} {v}" for k, v in report.items()))
         return 1 if report.get("errors") else 0
     except (ValueError, RuntimeError, EmbeddingError, OSError) as error:

@@ -179,14 +179,18 @@ def embed_texts(texts: list[str], config: EmbeddingConfig, provider: EmbeddingPr
     return out
 
 
-def with_vectors(df: DataFrame, key: str, text: str, config: EmbeddingConfig) -> DataFrame:
+def with_vectors(df: DataFrame, key: str, text: str, config: EmbeddingConfig, isolate: str | None = None) -> DataFrame:
     """``df`` with a ``vector`` column: in the JVM for the hashed provider, else through Arrow batches on the executors.
 
+    With ``isolate``, the name of a column, a batch that fails is tried again group by group of that
+    column; the rows of a group that fails have a null vector and ``embed_error``, which is null elsewhere.
+
     The provider's key is read from ``TESSERAE_EMBEDDING_API_KEY`` on the executors and is never part
     of the plan.
     """
     if config.provider == "hashed":
-        return df.join(hashed_vectors(df.select(key, text), key, text, config.dim), key)
+        rows = df.join(hashed_vectors(df.select(key, text), key, text, config.dim), key)
+        return rows.withColumn("embed_error", F.lit(None).cast("string")) if isolate else rows
     from dataclasses import replace
 
     from tesserae.plans.runtime import ensure_importable
@@ -198,9 +202,31 @@ def with_vectors(df: DataFrame, key: str, text: str, config: EmbeddingConfig) ->
         held = replace(plain, api_key=os.environ.get("TESSERAE_EMBEDDING_API_KEY"))
         provider = get_provider(held)
         for batch in batches:
-            vectors = embed_texts(batch.column(text).to_pylist(), held, provider)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float64()))], names=[*batch.schema.names, "vector"])
+            texts, errors = batch.column(text).to_pylist(), [None] * batch.num_rows
+            try:
+                vectors = embed_texts(texts, held, provider)
+            except EmbeddingError:
+                if not isolate:
+                    raise
+                vectors, errors = _by_group(texts, batch.column(isolate).to_pylist(), held, provider)
+            more = [pa.array(errors, pa.string())] if isolate else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float64())), *more], names=[*batch.schema.names, "vector", *(["embed_error"] if isolate else [])])
 
     from pyspark.sql import types as T
 
-    return df.mapInArrow(embed, T.StructType([*df.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType()))]))
+    added = [T.StructField("vector", T.ArrayType(T.DoubleType())), *([T.StructField("embed_error", T.StringType())] if isolate else [])]
+    return df.mapInArrow(embed, T.StructType([*df.schema.fields, *added]))
+
+
+def _by_group(texts: list[str], groups: list, config: EmbeddingConfig, provider: EmbeddingProvider) -> tuple[list, list]:
+    """Vectors and errors of texts, each group on its own."""
+    vectors, errors = [None] * len(texts), [None] * len(texts)
+    for group in dict.fromkeys(groups):
+        rows = [i for i, g in enumerate(groups) if g == group]
+        try:
+            for i, vector in zip(rows, embed_texts([texts[i] for i in rows], config, provider)):
+                vectors[i] = vector
+        except EmbeddingError as error:
+            for i in rows:
+                errors[i] = str(error)
+    return vectors, errors

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.plans.runtime import spread
+
 _STATUS = re.compile(r"[AMDTUXB]|[RC][0-9]+")
 
 
@@ -57,10 +61,43 @@ def _lines(text: str) -> list[Change]:
     for line in text.splitlines():
         if line.strip():
             status, *paths = line.split("\t")
+            if not status or len(paths) < (2 if status[0] in "RC" else 1):
+                raise ValueError(f"malformed diff line: a path is missing in {line!r}")
             out.append(_change(status, paths))
     return out
 
 
+def parse_logs(logs: DataFrame, key: str = "commit_sha", raw: str = "raw") -> DataFrame:
+    """``key``, ``ord``, ``status``, ``path``, ``new_path`` of whole logs, one in each row, in either form; a damaged one is an error.
+
+    ``raw`` is a string or binary column; a null or empty log gives no row.
+    """
+    kind = logs.schema[key].dataType.simpleString()
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, found = [], []
+            for n, text in enumerate(batch.column("raw").to_pylist()):
+                for at, change in enumerate(parse_changes(text or "")):
+                    owners.append(n)
+                    found.append((at, *readable(change)))
+            columns = list(zip(*found)) or [()] * 4
+            taken = batch.column("key").take(pa.array(owners, pa.int64()))
+            yield pa.RecordBatch.from_arrays([taken, *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.string(), pa.string())))], names=[key, "ord", "status", "path", "new_path"])
+
+    return spread(logs.select(F.col(key).alias("key"), F.col(raw).alias("raw"))).mapInArrow(parse, f"`{key}` {kind}, ord int, status string, path string, new_path string")
+
+
+def readable(change: Change) -> Change:
+    """The change itself, if its paths are UTF-8: Spark's strings hold no others."""
+    for path in (change.path, change.new_path or ""):
+        try:
+            path.encode("utf-8")
+        except UnicodeEncodeError as error:
+            raise ValueError(f"a path of the change log is not UTF-8: {path!r}") from error
+    return change
+
+
 def parse_lines(lines: DataFrame, column: str = "line", order: str = "ord") -> DataFrame:
     """``ord``, ``status``, ``path``, ``new_path`` of tab lines, in the JVM; blank lines give no row."""
     part = F.split(F.col(column), "\t")
@@ -72,8 +109,3 @@ def parse_lines(lines: DataFrame, column: str = "line", order: str = "ord") -> D
         F.when(status == "C", F.try_element_at(part, F.lit(3))).otherwise(F.try_element_at(part, F.lit(2))).alias("path"),
         F.when(status == "R", F.try_element_at(part, F.lit(3))).alias("new_path"),
     )
-
-
-def valid_status(column: str = "status"):
-    """Whether a raw status is one of a NUL-delimited log."""
-    return F.col(column).rlike(r"\A(?:[AMDTUXB]|[RC][0-9]+)\z")

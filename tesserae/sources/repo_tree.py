@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tesserae.operators.rules import IGNORED_DIRS
-from tesserae.plans.runtime import ensure_importable
+from tesserae.plans.runtime import ensure_importable, spread
 
 _ARROW = pa.schema([("rel_path", pa.string()), ("content", pa.binary()), ("n_bytes", pa.int64()), ("error", pa.string())])
 
@@ -27,8 +27,8 @@ class _Part(InputPartition):
 class _Reader(DataSourceReader):
     """Lists on the driver, which sees names only; reads on the executors, which must see the same path."""
 
-    def __init__(self, root: str, files_per_partition: int):
-        self.root, self.size = root, files_per_partition
+    def __init__(self, root: str, files_per_partition: int, contents: bool):
+        self.root, self.size, self.contents = root, files_per_partition, contents
 
     def partitions(self) -> list[_Part]:
         listed: list[tuple[str, str | None]] = []
@@ -46,14 +46,19 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
         for path, error in partition.files:
-            content = None
-            if error is None:
-                try:
-                    with open(os.path.join(self.root, path), "rb") as file:
-                        content = file.read()
-                except OSError as failure:
-                    error = str(failure)
-            yield pa.RecordBatch.from_pydict({"rel_path": [path], "content": [content], "n_bytes": [None if content is None else len(content)], "error": [error]}, schema=_ARROW)
+            yield _row(self.root, path, error) if self.contents else pa.RecordBatch.from_pydict({"rel_path": [path], "content": [None], "n_bytes": [None], "error": [error]}, schema=_ARROW)
+
+
+def _row(root: str, path: str, error: str | None = None) -> pa.RecordBatch:
+    """The row of one file; an error instead of the content of one that cannot be read or is none."""
+    content = None
+    if error is None:
+        try:
+            with open(os.path.join(root, path), "rb") as file:
+                content = file.read()
+        except OSError as failure:
+            error = str(failure)
+    return pa.RecordBatch.from_pydict({"rel_path": [path], "content": [content], "n_bytes": [None if content is None else len(content)], "error": [error]}, schema=_ARROW)
 
 
 class RepoTree(DataSource):
@@ -70,11 +75,23 @@ class RepoTree(DataSource):
         root = self.options.get("path")
         if not root or not os.path.isdir(root):
             raise ValueError(f"no such directory: {root}")
-        return _Reader(os.path.abspath(root), int(self.options.get("filesPerPartition", "256")))
+        return _Reader(os.path.abspath(root), int(self.options.get("filesPerPartition", "256")), self.options.get("contents", "true") == "true")
 
 
-def read_tree(spark: SparkSession, root: str, files_per_partition: int = 256) -> DataFrame:
-    """The files of a tree; unreadable ones have an error instead of content."""
+def read_tree(spark: SparkSession, root: str, files_per_partition: int = 256, contents: bool = True) -> DataFrame:
+    """The files of a tree; unreadable ones have an error instead of content. Without ``contents``, they are only listed."""
     ensure_importable(spark)
     spark.dataSource.register(RepoTree)
-    return spark.read.format("repo_tree").option("path", root).option("filesPerPartition", str(files_per_partition)).load()
+    return spark.read.format("repo_tree").option("path", root).option("filesPerPartition", str(files_per_partition)).option("contents", str(contents).lower()).load()
+
+
+def read_files(paths: DataFrame, root: str) -> DataFrame:
+    """The files that ``paths(rel_path)`` names, without listing the tree; one that is not there has an error."""
+    base = os.path.abspath(root)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("rel_path").to_pylist():
+                yield _row(base, path)
+
+    return spread(paths.select("rel_path")).mapInArrow(read, RepoTree.schema(None))

@@ -3,7 +3,7 @@
 import pytest
 
 from tesserae.operators.index import apply_changes, plan_changes
-from tesserae.sources.changes import Change, parse_changes, parse_lines
+from tesserae.sources.changes import Change, parse_changes, parse_lines, parse_logs
 from tesserae.streaming.feed import counted_by_window, latest_action, read_feed, run_feed
 
 
@@ -23,6 +23,22 @@ def test_malformed_records(raw):
         parse_changes(raw)
 
 
+@pytest.mark.parametrize("raw", ["A\n", "R100\told\n", "\tx\n"])
+def test_malformed_lines(raw):
+    with pytest.raises(ValueError, match="malformed diff line"):
+        parse_changes(raw)
+
+
+def test_logs_of_both_forms_in_a_table(spark):
+    logs = [("one", b"M\0a b\0R090\0o\0n\0"), ("two", b"A\tx\nD\ty\n"), ("three", None), ("four", b"")]
+    df = spark.createDataFrame(logs, "commit_sha string, raw binary")
+    got = [tuple(r) for r in parse_logs(df).orderBy("commit_sha", "ord").collect()]
+    assert got == [("one", 0, "M", "a b", None), ("one", 1, "R", "o", "n"), ("two", 0, "A", "x", None), ("two", 1, "D", "y", None)]
+    for bad, message in ((b"M\0a", "malformed NUL"), (b"A\0\xff.py\0", "not UTF-8")):
+        with pytest.raises(Exception, match=message):
+            parse_logs(spark.createDataFrame([("x", bad)], "commit_sha string, raw binary")).collect()
+
+
 def test_lines_in_spark_agree(spark):
     text = ["A\ta", "R100\to\tn", "C1\tx\ty", "D\td", "", "T\tt"]
     got = parse_lines(spark.createDataFrame(list(enumerate(text)), "ord int, line string")).orderBy("ord").collect()

@@ -7,11 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae import cli
+from tesserae.functions.columns import result_key
+from tesserae.operators import index
 from tesserae.operators.embed import EmbeddingConfig
 from tesserae.plans.runtime import global_rank
 from tesserae.settings import load_settings
 from tesserae.sources.git import commit_state
-from tesserae.sources.repo_tree import read_tree
+from tesserae.sources.repo_tree import read_files, read_tree
 from tesserae.sources.snapshot import SnapshotStore
 
 
@@ -71,6 +73,107 @@ def test_index_ask_reindex(spark, repo):
         cli.run_reindex(spark, settings, raw)
 
 
+def test_a_change_writes_only_its_buckets(spark, repo):
+    settings = load_settings(repo)
+    cli.run_index(spark, settings)
+    (repo / "pkg/store.py").write_text("def load_all(path):\n    return path\n")
+    cli.run_index(spark, settings)
+    store = SnapshotStore(spark, str(settings.index_path))
+    placed = store._manifest()["tables"]["file_hashes"]
+    assert list(placed.values()).count(2) == 1 and list(placed.values()).count(1) == len(placed) - 1
+    assert {r.file for r in store.chunks().collect()} == {"pkg/store.py", "pkg/other.py", ".gitignore"}
+
+
+def test_only_changed_paths_are_read(spark, repo, monkeypatch):
+    settings = load_settings(repo)
+    cli.run_index(spark, settings)
+    (repo / "pkg/store.py").write_text("def load_all(path):\n    return path\n")
+    (repo / "dist").mkdir()
+    (repo / "dist/made.js").write_text("x()")
+    git(repo, "add", "-A")
+    git(repo, "commit", "-qm", "two")
+    monkeypatch.setattr(cli, "read_tree", None)
+    report = cli.run_reindex(spark, settings, b"M\tpkg/store.py\nA\tdist/made.js\nM\tnot/there.py\nD\tpkg/other.py\nD\ta.py\n")
+    assert (report["upserts"], report["reindexed"]) == (1, 1)
+    assert [r.file for r in report["removed"].collect()] == ["a.py", "dist/made.js", "pkg/other.py"]
+
+
+def test_head_that_moves_meanwhile(spark, repo, monkeypatch):
+    settings = load_settings(repo)
+    head = commit_state(str(repo))[0]
+    states = iter([(head, None), ("other", None)])
+    monkeypatch.setattr(cli, "commit_state", lambda root: next(states))
+    report = cli.run_index(spark, settings)
+    store = SnapshotStore(spark, str(settings.index_path))
+    assert not report["commit_moved"] and report["errors"] == 0 and store.meta()["commit_sha"] is None and store.version() == 1
+    monkeypatch.undo()
+    cli.run_index(spark, settings)
+    assert store.meta()["commit_sha"] == head
+    before = store.version()
+    states = iter([("next", head), ("another", head)])
+    monkeypatch.setattr(cli, "commit_state", lambda root: next(states))
+    with pytest.raises(RuntimeError, match="HEAD changed"):
+        cli.run_reindex(spark, settings, b"D\tpkg/store.py\n")
+    assert store.version() == before
+
+
+def test_files_that_vanish_meanwhile(spark, repo):
+    settings = load_settings(repo)
+    cli.run_index(spark, settings)
+    store = SnapshotStore(spark, str(settings.index_path))
+    (repo / "pkg/fresh.py").write_text("def fresh():\n    return 1\n")
+    root = str(repo)
+
+    def relist():
+        return read_tree(spark, root, contents=False).filter("rel_path not in ('pkg/other.py', 'pkg/fresh.py')")
+
+    report = index.index_tree(store, read_tree(spark, root), ["skipped.txt"], settings.embedding, "c", lambda paths: read_files(paths, root), relist)
+    assert report["vanished"] == 2
+    assert {r.file for r in store.indexed_files().collect()} == {"pkg/__init__.py", "pkg/store.py", ".gitignore"}
+
+
+def test_a_failed_embedding_stays_with_its_file(spark, repo, monkeypatch):
+    """Of files embedded together, one whose text is refused keeps what the index has; the others go on."""
+    from tesserae.operators import embed
+
+    settings = load_settings(repo)
+    cli.run_index(spark, settings)
+    store = SnapshotStore(spark, str(settings.index_path))
+    (repo / "pkg/store.py").write_text("def load_all(path):\n    return path\n")
+    (repo / "pkg/other.py").write_text("REFUSED = 1\n")
+    config = EmbeddingConfig(provider="picky", dim=settings.embedding.dim, model=settings.embedding.model)
+
+    def picky(config):
+        class Picky(embed.HashedProvider):
+            def embed_batch(self, texts):
+                if any("REFUSED" in t for t in texts):
+                    raise embed.EmbeddingError("refused")
+                return super().embed_batch(texts)
+
+        return Picky(config.dim)
+
+    monkeypatch.setattr(embed, "get_provider", picky)
+    head = commit_state(str(repo))[0]
+    report = index.index_tree(store, read_tree(spark, str(repo)), ["skipped.txt"], config, head)
+    assert report["errors"] == 1 and not report["commit_moved"] or report["errors"] == 1
+    kept = {r.file: r.symbol for r in store.chunks().collect()}
+    assert kept["pkg/other.py"] == "Walker" and kept["pkg/store.py"] == "load_all"
+    vectors, errors = embed._by_group(["a", "REFUSED", "b"], ["x", "y", "x"], config, picky(config))
+    assert [v is None for v in vectors] == [False, True, False] and errors == [None, "refused", None]
+    changes = spark.createDataFrame([(0, "M", "pkg/other.py", None)], "ord int, status string, path string, new_path string")
+    before = store.version()
+    with pytest.raises(embed.EmbeddingError, match="pkg/other.py: refused"):
+        index.reindex(store, changes, lambda paths: read_files(paths, str(repo)), [], config, None, None)
+    assert store.version() == before
+
+
+def test_results_without_an_id(spark):
+    rows = [("7", "a", 1, 2, None, "x"), (None, "a", 1, 2, None, "x"), ("", "a", 1, 2, None, "x"), (None, "a", 1, 3, None, "x"), (None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "chunk_id string, file string, start_line int, end_line int, symbol string, text string")
+    keys = [r[0] for r in df.select(result_key(*(F.col(c) for c in df.columns))).collect()]
+    assert keys[0] == "7" and keys[1] == keys[2] and len(set(keys)) == 4 and all(keys)
+
+
 def test_gone_files_leave_the_index(spark, repo):
     settings = load_settings(repo)
     cli.run_index(spark, settings)
