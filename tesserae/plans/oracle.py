@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from tesserae.functions.columns import DEFINITION_WORDS, FILE_EXTENSIONS
 from tesserae.operators import rules
 from tesserae.operators.answer import LEAST_CHARS, NOTHING_FOUND, TRUNCATED
@@ -23,6 +25,9 @@ _CHUNKS = """c AS (SELECT chunk_id, file_id, repo, repo || '/' || metadata.file
   QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY indexed_at DESC) = 1)"""
 _QUESTIONS = "q AS (SELECT DISTINCT question_id, question FROM questions WHERE question IS NOT NULL)"
 _CHANGES = """ch AS (SELECT * FROM changes QUALIFY row_number() OVER (PARTITION BY change_id ORDER BY received_at DESC) = 1)"""
+#: Lines of the files that are not blank.
+_FILE_LINES = r"""ln AS (SELECT file, no, line FROM (SELECT rel_path AS file, generate_subscripts(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), 1) AS no, unnest(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10))) AS line FROM f WHERE text IS NOT NULL)
+    WHERE regexp_matches(line, '[^\s\x1c-\x1f]'))"""
 _LF = r"regexp_replace(text, '\r\n?', chr(10), 'g')"
 
 
@@ -45,6 +50,11 @@ _PATTERNS = {
 _ANY_PATTERN = " OR ".join(f"({p})" for p in _PATTERNS.values())
 
 
+def _path_reason_of(path: str) -> str:
+    """The reason for another column than ``name``."""
+    return re.sub(r"\bname\b", path, _path_reason())
+
+
 def _path_reason() -> str:
     base, parents = "regexp_extract(name, '[^/]*$')", "string_split(name, '/')[1:-2]"
     suffix = rf"regexp_extract({base}, '^.+(\.[^./]+)$', 1)"
@@ -61,9 +71,9 @@ _PAIRS = "regexp_replace(substr(hex(encode(text)), 1, 16384), '(..)', '\\1 ', 'g
 _RATIO = f"""CASE WHEN length(text) = 0 THEN 1.0 WHEN contains({_PAIRS}, '00 ') THEN 0.0
   ELSE (length({_PAIRS}) - length(regexp_replace({_PAIRS}, '(09|0A|0D|[2-6][0-9A-F]|7[0-9A-E]) ', '', 'g')))::DOUBLE / length({_PAIRS}) END"""
 
-_DELIVERIES = """d AS (SELECT repo || '/' || name AS file, file_hash, ingested_at FROM files WHERE file_hash IS NOT NULL),
-  first AS (SELECT file, file_hash FROM d QUALIFY row_number() OVER (PARTITION BY file ORDER BY ingested_at, file_hash) = 1),
-  last AS (SELECT file, file_hash FROM d QUALIFY row_number() OVER (PARTITION BY file ORDER BY ingested_at DESC, file_hash DESC) = 1),
+_DELIVERIES = """d AS (SELECT repo || '/' || name AS file, file_hash, epoch_us(ingested_at) AS us FROM files WHERE file_hash IS NOT NULL),
+  first AS (SELECT file, file_hash FROM d WHERE us <= (SELECT (min(us) + max(us)) // 2 FROM d) QUALIFY row_number() OVER (PARTITION BY file ORDER BY us DESC, file_hash DESC) = 1),
+  last AS (SELECT file, file_hash FROM d QUALIFY row_number() OVER (PARTITION BY file ORDER BY us DESC, file_hash DESC) = 1),
   cur AS (SELECT DISTINCT repo || '/' || name AS file FROM files)"""
 
 _WORDS = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
@@ -103,10 +113,11 @@ _TERMS = rf"""raws AS (
   terms AS (SELECT DISTINCT question_id, 'filename' AS kind, token AS term FROM t3 WHERE is_file
     UNION SELECT question_id, 'symbol', part FROM t5 WHERE regexp_matches(part, '{_IDENT}') AND (explicit OR call OR (dotted AND nth = n AND len(part) >= 2)
       OR (len(part) >= 2 AND ((contains(part, '_') AND regexp_matches(part, '[^_]')) OR regexp_matches(part, '[a-z][A-Z]|[A-Z]{{2}}[a-z]')))))"""
-_EXACT = rf"""defs AS (SELECT DISTINCT chunk_id, unnest(regexp_extract_all(text, '\b(?:{'|'.join(DEFINITION_WORDS)})\s+(?:\([^)]*\)\s*)?(\w+)', 1)) AS name FROM c),
-  ex AS (SELECT question_id, chunk_id, min(r) AS r FROM (
+#: A definition of a term as one search through each text, without the extraction that the engine uses.
+_EXACT = rf"""ex AS (SELECT question_id, chunk_id, min(r) AS r FROM (
       SELECT question_id, chunk_id, 0 AS r FROM terms JOIN c ON c.symbol = term WHERE kind = 'symbol'
-      UNION ALL SELECT question_id, chunk_id, 1 FROM terms JOIN defs ON name = term WHERE kind = 'symbol'
+      UNION ALL SELECT question_id, chunk_id, 1 FROM (SELECT DISTINCT term FROM terms WHERE kind = 'symbol') n
+        JOIN c ON contains(c.text, n.term) AND regexp_matches(c.text, '\b(?:{'|'.join(DEFINITION_WORDS)})\s+(?:\([^)]*\)\s*)?' || n.term || '\b') JOIN terms t ON t.term = n.term AND t.kind = 'symbol'
       UNION ALL SELECT question_id, chunk_id, 2 FROM terms JOIN c ON c.file = term OR ends_with(c.file, '/' || term) WHERE kind = 'filename') GROUP BY ALL),
   exact AS (SELECT question_id, chunk_id, CASE r WHEN 0 THEN 'symbol' WHEN 1 THEN 'definition' ELSE 'filename' END AS match, r FROM ex)"""
 _SCORED = f"""scored AS (SELECT exact.question_id, exact.chunk_id, match, r, CASE WHEN len(vector) = {DIM} THEN {_COSINE} ELSE 0.0 END AS score, file, coalesce(start_line, 0) AS line
@@ -143,7 +154,7 @@ ORACLE = {
     "duplicate_content": f"WITH {_FILES} SELECT sha256(text) AS sha256, count(*) AS n_files, count(DISTINCT repo) AS n_repos FROM f GROUP BY 1 HAVING count(*) > 1",
     "stale_files": "SELECT file FROM (SELECT repo || '/' || path AS file FROM changes UNION SELECT repo || '/' || metadata.file FROM chunks) EXCEPT SELECT repo || '/' || name FROM files",
     "unchanged_files": f"WITH {_DELIVERIES} SELECT last.file FROM last JOIN first ON first.file = last.file AND first.file_hash = last.file_hash",
-    "to_process": f"WITH {_DELIVERIES} SELECT file FROM cur WHERE file NOT IN (SELECT file FROM last)",
+    "to_process": f"WITH {_DELIVERIES} SELECT cur.file FROM cur LEFT JOIN last USING (file) LEFT JOIN first USING (file) WHERE first.file_hash IS NULL OR last.file_hash IS NULL OR first.file_hash <> last.file_hash",
     "parse_changes": f"WITH {_CHANGES} SELECT change_id, status, path, CASE WHEN status = 'R' THEN new_path END AS new_path FROM ch",
     "plan_reindex": f"""WITH {_CHANGES}, x AS (SELECT status, repo || '/' || path AS path, repo || '/' || new_path AS new_path FROM ch), p AS (SELECT DISTINCT repo || '/' || name AS path, name FROM files),
       t AS (SELECT DISTINCT CASE WHEN status = 'R' THEN new_path ELSE path END AS path FROM x WHERE status <> 'D'), there AS (SELECT p.path, {_path_reason()} AS reason FROM t JOIN p ON p.path = t.path)
@@ -166,7 +177,14 @@ ORACLE = {
     "query_terms": f"WITH {_QUESTIONS}, {_TERMS} SELECT question_id, kind, term FROM terms",
     "exact_symbol": f"WITH {_CHUNKS}, {_QUESTIONS}, {_TERMS}, {_EXACT} SELECT question_id, chunk_id FROM exact WHERE match = 'symbol'",
     "exact_definition": f"WITH {_CHUNKS}, {_QUESTIONS}, {_TERMS}, {_EXACT} SELECT question_id, chunk_id FROM exact WHERE match = 'definition'",
-    "exact_filename": f"WITH {_CHUNKS}, {_QUESTIONS}, {_TERMS}, {_EXACT} SELECT question_id, chunk_id FROM exact WHERE match = 'filename'",
+    "exact_filename": rf"""WITH {_CHUNKS}, {_QUESTIONS}, {_TERMS}, named AS (SELECT DISTINCT file_id AS question_id, name FROM files WHERE file_id IN (SELECT question_id FROM q)),
+      wanted AS (SELECT question_id, term FROM terms WHERE kind = 'filename' UNION SELECT question_id, name FROM named UNION SELECT question_id, regexp_extract(name, '[^/]*$') FROM named)
+      SELECT DISTINCT question_id, chunk_id FROM wanted JOIN c ON c.file = term OR ends_with(c.file, '/' || term)""",
+    "ast_chunk_lines": f"WITH {_FILES}, {_FILE_LINES} SELECT file, count(*) AS n_lines, sum(no)::BIGINT AS line_sum, sha256(string_agg(line, chr(10) ORDER BY no)) AS sha256 FROM ln GROUP BY 1",
+    "line_chunk_lines": f"WITH {_FILES}, {_FILE_LINES} SELECT file, count(*) AS n_lines, sum(no)::BIGINT AS line_sum, sha256(string_agg(line, chr(10) ORDER BY no)) AS sha256 FROM ln GROUP BY 1",
+    "snapshot_update": f"""WITH {_FILES}, {_FILE_LINES}, n AS (SELECT file, count(*) AS n_lines FROM ln GROUP BY 1), {_CHANGES},
+      kept AS (SELECT rel_path AS file, text FROM f WHERE {_path_reason_of('rel_path')} IS NULL AND {_RATIO} >= 0.75 AND rel_path NOT IN (SELECT repo || '/' || path FROM ch WHERE status = 'D'))
+      SELECT kept.file, sha256(text) AS file_hash, coalesce(n_lines, 0)::BIGINT AS n_lines FROM kept LEFT JOIN n USING (file)""",
     "exact_ranked": f"WITH {_CHUNKS}, {_ASKED}, {_TERMS}, {_EXACT}, {_SCORED} SELECT question_id, chunk_id, match, (row_number() OVER (PARTITION BY question_id ORDER BY r, score DESC, file, line, chunk_id))::INT AS rank FROM scored",
     "merged_hits": f"{_ALL} SELECT question_id, chunk_id, match, rank::INT AS rank FROM merged",
     "context_budget": f"{_ALL}, {_BUDGET} SELECT question_id, rank::INT AS rank, chunk_id, length(body)::BIGINT AS n_chars FROM kept",

@@ -25,9 +25,17 @@ MAX_CHARS = 6000
 
 
 def _latest(df: DataFrame, key: str, version: str) -> DataFrame:
-    """One row for each key: the last version, ties by the row itself."""
+    """One row for each key: the last version, ties by the row itself.
+
+    Which keys were delivered more than once is found on key and version alone. Rows of the others stay
+    where they are: no text or vector is exchanged for them.
+    """
     rest = [c for c in df.columns if c not in (key, version)]
-    return df.groupBy(key).agg(F.max_by(F.struct(version, *rest), F.struct(F.col(version), F.xxhash64(*rest))).alias("r")).select(key, "r.*")
+    repeated = cut(df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max(version).alias("newest")).filter("n > 1").select(F.col(key).alias("again"), "newest"))
+    once = df.join(repeated, F.col(key).eqNullSafe(F.col("again")), "left_anti")
+    newest = df.join(repeated, F.col(key).eqNullSafe(F.col("again")) & F.col(version).eqNullSafe(F.col("newest"))).drop("again", "newest")
+    last = newest.groupBy(key).agg(F.max_by(F.struct(version, *rest), F.xxhash64(*rest)).alias("r")).select(key, "r.*")
+    return once.select(key, version, *rest).unionByName(last)
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,11 +111,11 @@ def duplicate_content(spark, sf_dir):
 
 
 def _deliveries(spark, sf_dir):
-    """First and last hash of each path."""
-    rows = table(spark, sf_dir, "files").filter("file_hash is not null").select(F.concat_ws("/", "repo", "name").alias("file"), "file_hash", "ingested_at")
-    first = rows.groupBy("file").agg(F.min_by("file_hash", F.struct("ingested_at", "file_hash")).alias("file_hash"))
-    last = rows.groupBy("file").agg(F.max_by("file_hash", F.struct("ingested_at", "file_hash")).alias("file_hash"))
-    return first, last
+    """Hash of each path by its last delivery up to the middle of the time of all deliveries, and by its last of all."""
+    rows = table(spark, sf_dir, "files").filter("file_hash is not null").select(F.concat_ws("/", "repo", "name").alias("file"), "file_hash", F.unix_micros(F.col("ingested_at").cast("timestamp")).alias("at"))
+    middle = rows.agg(F.floor((F.min("at") + F.max("at")) / 2).alias("middle"))
+    last = lambda df: df.groupBy("file").agg(F.max_by("file_hash", F.struct("at", "file_hash")).alias("file_hash"))
+    return last(rows.crossJoin(F.broadcast(middle)).filter("at <= middle")), last(rows)  # one row
 
 
 def stale_files(spark, sf_dir):
@@ -116,14 +124,15 @@ def stale_files(spark, sf_dir):
 
 
 def unchanged_files(spark, sf_dir):
-    first, last = _deliveries(spark, sf_dir)
-    return index.unchanged(last, first, ["file", "file_hash"]).select("file")
+    known, now = _deliveries(spark, sf_dir)
+    return index.unchanged(now, known, ["file", "file_hash"]).select("file")
 
 
 def to_process(spark, sf_dir):
-    _, last = _deliveries(spark, sf_dir)
-    current = file_names(spark, sf_dir).select(F.col("rel_path").alias("file")).join(last, "file", "left").select("file", F.coalesce("file_hash", F.lit("")).alias("file_hash"))
-    return index.to_process(current, last, ["file", "file_hash"]).select("file")
+    """Files that an index of the first half of the time would have to take in, those without a hash among them."""
+    known, now = _deliveries(spark, sf_dir)
+    current = file_names(spark, sf_dir).select(F.col("rel_path").alias("file")).join(now, "file", "left").select("file", F.coalesce("file_hash", F.lit("")).alias("file_hash"))
+    return index.to_process(current, known, ["file", "file_hash"]).select("file")
 
 
 def parse_changes(spark, sf_dir):
@@ -154,18 +163,19 @@ def snapshot_files(spark, sf_dir):
 
 
 def stream_reindex(spark, sf_dir):
-    """The feed as a stream, applied batch by batch to a table of the last action of each path."""
+    """The feed as a stream, applied batch by batch to a table of the last action of each path.
+
+    A batch is merged with the table that the batches before it left: late records change nothing that
+    came after them.
+    """
     import uuid
 
     out = f"{ensure_checkpoint_dir(spark)}/feed-out-{uuid.uuid4().hex}"
     source = f"{sf_dir}/changes.parquet"
     folder = source if os.path.isdir(source) else f"{sf_dir}/changes*.parquet"
-
-    def apply(batch: DataFrame, number: int) -> None:
-        feed.latest_action(batch.dropDuplicates(["change_id"])).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    feed.run_feed(feed.read_feed(spark, folder), apply, "changes", f"{out}-offsets")
-    return spark.read.parquet(f"{out}/batch=*").select("repo", "path", "action")
+    state = feed.ActionTable(spark, out)
+    feed.run_feed(feed.read_feed(spark, folder), state.apply, "changes", f"{out}-offsets")
+    return state.rows().select("repo", "path", "action")
 
 
 # Chunks
@@ -192,6 +202,43 @@ def ast_chunks(spark, sf_dir):
     return chunking.chunk_files(files(spark, sf_dir)).select("file", "pos", "start_line", "end_line", "symbol", "language", "text")
 
 
+def _lines(chunks: DataFrame) -> DataFrame:
+    """``file``, ``n_lines``, ``line_sum``, ``sha256``: the lines of each file's chunks that are not blank, as often as they stand in chunks."""
+    rows = chunks.select("file", "start_line", F.posexplode(F.split("text", "\n")).alias("at", "line")).filter(~C.is_blank(F.col("line")))
+    numbered = rows.select("file", (F.col("start_line") + F.col("at")).cast("bigint").alias("no"), "line")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "line"))), lambda x: x["line"]), "\n")
+    return numbered.groupBy("file").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("no").alias("line_sum"), F.sha2(body, 256).alias("sha256"))
+
+
+def ast_chunk_lines(spark, sf_dir):
+    """Structure chunks by file: every line that is not blank in one of them, once, and as it stands in the file."""
+    return _lines(chunking.chunk_files(files(spark, sf_dir)))
+
+
+def line_chunk_lines(spark, sf_dir):
+    """Chunks by lines, by file, as :func:`ast_chunk_lines`."""
+    return _lines(chunking.chunk_files(files(spark, sf_dir), mode="lines"))
+
+
+def snapshot_update(spark, sf_dir):
+    """An index of the files up to the middle of the time, brought up to all of them in a second version, then changed by the feed's deletions: what it holds of each file."""
+    import uuid
+
+    from tesserae.operators.embed import EmbeddingConfig
+    from tesserae.sources.snapshot import SnapshotStore
+
+    store = SnapshotStore(spark, f"{ensure_checkpoint_dir(spark).removeprefix('file://')}/store-{uuid.uuid4().hex}")
+    tree = cut(files(spark, sf_dir).select("rel_path", F.unix_micros(F.col("ingested_at").cast("timestamp")).alias("at"), F.encode("text", "UTF-8").alias("content"), F.lit(None).cast("string").alias("error")))
+    middle = tree.agg(F.floor((F.min("at") + F.max("at")) / 2)).first()[0]
+    config = EmbeddingConfig(dim=8)
+    index.index_tree(store, tree.filter(F.col("at") <= middle), PATTERNS, config, "one")
+    index.index_tree(store, tree, PATTERNS, config, "two")
+    gone = changes(spark, sf_dir).filter("status = 'D'").select(F.lit("D").alias("status"), F.concat_ws("/", "repo", "path").alias("path"), F.lit(None).cast("string").alias("new_path"))
+    index.reindex(store, gone, lambda paths: tree.join(paths, "rel_path", "left_semi"), PATTERNS, config, "three", "two")
+    held = _lines(store.chunks()).select("file", "n_lines")
+    return store.file_hashes().join(held, "file", "left").select("file", "file_hash", F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"))
+
+
 def file_batches(spark, sf_dir):
     return index.file_batches(file_names(spark, sf_dir), "rel_path").select("rel_path", "batch")
 
@@ -265,7 +312,12 @@ def exact_definition(spark, sf_dir):
 
 
 def exact_filename(spark, sf_dir):
-    return _exact(spark, sf_dir).filter("match = 'filename'").select("question_id", "chunk_id")
+    """Chunks by the file names in questions, and for each question by the path of the file with its number and that file's name alone."""
+    asked = questions(spark, sf_dir).select("question_id")
+    paths = table(spark, sf_dir, "files").select(F.col("file_id").alias("question_id"), "name").distinct().join(asked, "question_id", "left_semi")
+    term = F.explode(F.array("name", C.basename(F.col("name")))).alias("term")
+    terms = query_terms(spark, sf_dir).filter("kind = 'filename'").select("question_id", "kind", "term").union(paths.select("question_id", F.lit("filename"), term)).distinct()
+    return retrieve.exact_matches(terms, chunks(spark, sf_dir, "file", "symbol", "text")).select("question_id", "chunk_id")
 
 
 def _exact_scored(spark, sf_dir) -> DataFrame:
@@ -319,7 +371,7 @@ QUERIES = {
     for f in (
         file_catalog, content_hash, skip_reason, secret_filter, ignore_patterns, binary_ratio, duplicate_content, stale_files, unchanged_files,
         to_process, parse_changes, plan_reindex, apply_changes, snapshot_files, stream_reindex, whole_file_chunks, chunk_coverage, line_chunks,
-        ast_chunks, file_batches, index_report, tokens, hashed_embedding, embedding_norm, cosine_topk, batch_knn, query_terms, exact_symbol,
+        ast_chunks, ast_chunk_lines, line_chunk_lines, snapshot_update, file_batches, index_report, tokens, hashed_embedding, embedding_norm, cosine_topk, batch_knn, query_terms, exact_symbol,
         exact_definition, exact_filename, exact_ranked, merged_hits, context_budget, context_text, citations, ask,
     )
 }

@@ -18,7 +18,7 @@ def read_feed(spark: SparkSession, path: str, schema: str = FEED) -> DataFrame:
 
 
 def latest_action(changes: DataFrame, key: tuple[str, ...] = ("repo",)) -> DataFrame:
-    """``repo``, ``path``, ``action``: the last thing that happened to each path in a batch.
+    """``repo``, ``path``, ``action``, ``w``: the last thing that happened to each path in a batch, and when (w).
 
     Order is the commit's time, then the place in it; redelivered records change nothing.
     """
@@ -27,7 +27,33 @@ def latest_action(changes: DataFrame, key: tuple[str, ...] = ("repo",)) -> DataF
     kept = changes.filter("status <> 'D'").select(*key, F.when(F.col("status") == "R", F.col("new_path")).otherwise(F.col("path")).alias("path"), when.alias("w"), F.lit("upsert").alias("action"))
     # Of one record, its upsert counts after its deletion.
     rows = gone.union(kept).filter("path is not null")
-    return rows.groupBy(*key, "path").agg(F.max_by("action", F.struct("w", F.col("action"))).alias("action"))
+    return newest(rows, key)
+
+
+def newest(rows: DataFrame, key: tuple[str, ...] = ("repo",)) -> DataFrame:
+    """Of each path the row that happened last."""
+    return rows.groupBy(*key, "path").agg(F.max(F.struct("w", "action")).alias("last")).select(*key, "path", "last.action", "last.w")
+
+
+class ActionTable:
+    """The last action of each path over all batches of a feed, in a folder; each batch merges into a table of its own number.
+
+    A batch that is run again after a failure writes the same table again.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.last = spark, folder, None
+
+    def rows(self) -> DataFrame:
+        """``repo``, ``path``, ``action``, ``w``."""
+        if self.last is None:
+            return self.spark.createDataFrame([], "repo string, path string, action string, w struct<committed_at:timestamp,ord:int,change_id:bigint>")
+        return self.spark.read.parquet(f"{self.folder}/after={self.last}")
+
+    def apply(self, batch: DataFrame, number: int) -> None:
+        """Merge a batch; for ``foreachBatch``."""
+        newest(latest_action(batch).unionByName(self.rows())).write.mode("overwrite").parquet(f"{self.folder}/after={number}")
+        self.last = number
 
 
 def run_feed(stream: DataFrame, apply: Callable[[DataFrame, int], None], name: str, checkpoint: str | None = None) -> None:
