@@ -10,7 +10,8 @@ Grammar text: ``Name : alternative | alternative`` with ``?``, ``*``, ``+`` and
 quotes, token classes in capitals, ``(:Name:)``, ``[:Name:]``, ``{:Name:}`` for a bracket pair with such a
 content, ``@dialect,dialect`` before an alternative of some dialects only, ``^`` before one that does not begin
 with braces. ``Name :: Item`` is a list of
-items whose statements may be recognised one by one.
+items whose statements may be recognised one by one. A nonterminal ``Anything`` stands for any tokens and
+brackets in every dialect; it is taken to fit without a run.
 """
 
 from __future__ import annotations
@@ -183,6 +184,19 @@ class Grammar:
                         first[r] |= found
                         empty[r] = empty[r] or none
                         changed = True
+        # What may stand anywhere in a derivation, but for the insides of brackets.
+        self.reach: list[set] = [set() for _ in self.rules]
+        changed = True
+        while changed:
+            changed = False
+            for r, alts in enumerate(self.rules):
+                size = len(self.reach[r])
+                for a in alts:
+                    for code, arg in self.alternatives[a]:
+                        self.reach[r] |= arg if code == "T" else {arg[0]} if code == "G" else self.reach[arg]
+                changed = changed or len(self.reach[r]) > size
+        #: Derives every content: see :meth:`fold`.
+        self._anything = self.names.get("Anything")
         self.predicted: list[dict] = []
         self.always: list[tuple] = []
         for alts in self.rules:
@@ -298,7 +312,9 @@ class Grammar:
         if found is None:
             if len(self._memo) >= MEMO:
                 self._memo.clear()
-            found = self._memo[key] = self.recognise(start, text)
+            reach, fits = self.reach[start], self._fits
+            possible = all((fits[c][0] if c >= FOLDED else c) in reach for c in set(text))
+            found = self._memo[key] = self.recognise(start, text) if possible else 0
         return found
 
     def fold(self, bracket: str, content: str, segments) -> str | None:
@@ -306,7 +322,7 @@ class Grammar:
         key = (bracket, content)
         found = self._memo.get(key)
         if found is None:
-            fit = {c: m for c in self.contents.get(bracket, ()) if (m := self.fits(c, content, segments))}
+            fit = {c: m for c in self.contents.get(bracket, ()) if (m := self.all if c == self._anything else self.fits(c, content, segments))}
             if not fit:
                 return None
             shape = (bracket, tuple(sorted(fit.items())))
