@@ -124,12 +124,12 @@ def index_tree(store: SnapshotStore, tree: DataFrame, patterns: list[str], confi
     return report
 
 
-def reindex(store: SnapshotStore, changes: DataFrame, read: Callable[[DataFrame], DataFrame], patterns: list[str], config: EmbeddingConfig, head: str | None, parent: str | None, head_now: Callable[[], str | None] | None = None) -> dict:
+def reindex(store: SnapshotStore, changes: DataFrame, read: Callable[[DataFrame], DataFrame], patterns: list[str], config: EmbeddingConfig, head: str | None, parent: str | None, head_now: Callable[[], str | None] | None = None, facts: dict | None = None) -> dict:
     """Apply one commit's changes. The index must be at its parent; nothing is written before all is chunked and embedded.
 
     Only the changed paths are read, by ``read(paths)``; one that is not there has an error. A failed
     embedding, or another HEAD by ``head_now()`` at the end, stops the run, and the index stays as it was.
-    ``removed`` of the report are the paths deleted, in order.
+    ``removed`` of the report are the paths deleted, in order. ``facts`` are kept with the version.
     """
     meta = store.meta()
     if head is not None and meta.get("commit_sha") != parent:
@@ -147,7 +147,7 @@ def reindex(store: SnapshotStore, changes: DataFrame, read: Callable[[DataFrame]
         raise EmbeddingError(f"{problem['file']}: {problem['error']}")
     if head_now is not None and head_now() != head:
         raise RuntimeError("HEAD changed during the run; the index was not updated")
-    store.apply(chunks, fresh.select("file", "file_hash"), deleted, meta | {"commit_sha": head, "embed_model": config.model})
+    store.apply(chunks, fresh.select("file", "file_hash"), deleted, meta | {"commit_sha": head, "embed_model": config.model} | (facts or {}))
     report = {"deleted": deleted.count(), "upserts": upserts.count(), "reindexed": fresh.count()}
     report["skipped"] = report["upserts"] - report["reindexed"]
     report["removed"] = deleted.orderBy("file")

@@ -163,6 +163,10 @@ ORACLE = {
     "apply_changes": f"""WITH {_ACTIONS} SELECT DISTINCT repo || '/' || name AS file, 'indexed' AS origin FROM files WHERE repo || '/' || name NOT IN (SELECT repo || '/' || path FROM act)
       UNION ALL SELECT repo || '/' || path, 'changed' FROM act WHERE action = 'upsert'""",
     "snapshot_files": "SELECT repo || '/' || name AS file FROM files WHERE file_hash IS NOT NULL UNION SELECT repo || '/' || metadata.file FROM chunks",
+    "parse_change_logs": f"WITH {_CHANGES} SELECT repo, (row_number() OVER (PARTITION BY repo ORDER BY change_id) - 1)::INT AS ord, status, path, CASE WHEN status = 'R' THEN new_path END AS new_path FROM ch",
+    "closing_chunks": rf"WITH {_CHUNKS} SELECT chunk_id, length(text)::INT AS n_chars FROM c WHERE regexp_full_match(text, '[\s{{}}()\[\];,]*')",
+    "feed_index": f"""WITH {_FILES}, {_ACTIONS} SELECT rel_path AS file, sha256(text) AS file_hash FROM act JOIN f ON f.rel_path = act.repo || '/' || act.path
+      WHERE action = 'upsert' AND {_path_reason_of('rel_path')} IS NULL AND {_RATIO} >= 0.75""",
     "stream_reindex": f"WITH {_ACTIONS} SELECT repo, path, action FROM act",
     "whole_file_chunks": rf"WITH {_FILES} SELECT file_id, 1 AS start_line, (length({_LF}) - length(replace({_LF}, chr(10), '')) + 1)::INT AS end_line, regexp_extract(regexp_extract(name, '[^/]*$'), '^.+\.([^./]+)$', 1) AS language FROM f WHERE regexp_matches(text, '\S')",
     "chunk_coverage": f"WITH {_FILES}, {_CHUNKS} SELECT c.repo, count(*) AS n_chunks, count(*) FILTER (array_to_string(string_split({_LF.replace('text', 'f.text')}, chr(10))[start_line:end_line], chr(10)) = c.text) AS n_exact FROM c JOIN f ON f.file_id = c.file_id GROUP BY 1",

@@ -13,8 +13,9 @@ from pyspark.sql.window import Window
 
 from tesserae.functions import columns as C
 from tesserae.operators import answer, chunking, embed, index, retrieve, rules
-from tesserae.plans.runtime import cut, ensure_checkpoint_dir, table
+from tesserae.plans.runtime import cut, table, temporary
 from tesserae.sources import changes as change_log
+from tesserae.sources.snapshot import SnapshotStore
 from tesserae.streaming import feed
 
 #: Patterns of the example ignore file.
@@ -141,6 +142,14 @@ def parse_changes(spark, sf_dir):
     return change_log.parse_lines(c.select("change_id", line.alias("line")), order="change_id").withColumnRenamed("ord", "change_id")
 
 
+def parse_change_logs(spark, sf_dir):
+    """The changes of each repository as one log of NUL-delimited records, parsed."""
+    status = F.when(F.col("status") == "R", "R100").otherwise(F.col("status"))
+    record = F.concat(F.concat_ws("\0", status, "path", F.when(F.col("status") == "R", F.col("new_path"))), F.lit("\0"))
+    logs = changes(spark, sf_dir).groupBy("repo").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("change_id", record.alias("r")))), lambda x: x["r"]), "").alias("raw"))
+    return change_log.parse_logs(logs, "repo")
+
+
 def plan_reindex(spark, sf_dir):
     c = changes(spark, sf_dir).select("status", F.concat_ws("/", "repo", "path").alias("path"), F.when(F.col("new_path").isNotNull(), F.concat_ws("/", "repo", "new_path")).alias("new_path"))
     present = table(spark, sf_dir, "files").select(F.concat_ws("/", "repo", "name").alias("path"), "name").distinct()
@@ -168,14 +177,30 @@ def stream_reindex(spark, sf_dir):
     A batch is merged with the table that the batches before it left: late records change nothing that
     came after them.
     """
-    import uuid
+    state = feed.ActionTable(spark, temporary(spark, "actions"))
+    feed.run_feed(_feed(spark, sf_dir), state.apply, "changes", temporary(spark, "offsets"))
+    return state.rows().select("repo", "path", "action")
+
 
-    out = f"{ensure_checkpoint_dir(spark)}/feed-out-{uuid.uuid4().hex}"
+def _feed(spark, sf_dir) -> DataFrame:
     source = f"{sf_dir}/changes.parquet"
-    folder = source if os.path.isdir(source) else f"{sf_dir}/changes*.parquet"
-    state = feed.ActionTable(spark, out)
-    feed.run_feed(feed.read_feed(spark, folder), state.apply, "changes", f"{out}-offsets")
-    return state.rows().select("repo", "path", "action")
+    return feed.read_feed(spark, source if os.path.isdir(source) else f"{sf_dir}/changes*.parquet")
+
+
+def _tree(spark, sf_dir) -> DataFrame:
+    """The files as a tree that an index is built of, with the time of their delivery."""
+    at = F.unix_micros(F.col("ingested_at").cast("timestamp")).alias("at")
+    return cut(files(spark, sf_dir).select("rel_path", at, F.encode("text", "UTF-8").alias("content"), F.lit(None).cast("string").alias("error")))
+
+
+def feed_index(spark, sf_dir):
+    """An index that the change feed alone builds, batch by batch: its files and their hashes."""
+    tree = _tree(spark, sf_dir)
+    store = SnapshotStore(spark, temporary(spark, "store").removeprefix("file:"))
+    state = feed.ActionTable(spark, temporary(spark, "actions"))
+    indexed = feed.IndexedFeed(store, state, lambda paths: tree.join(paths, "rel_path", "left_semi"), PATTERNS, embed.EmbeddingConfig(dim=8))
+    feed.run_feed(_feed(spark, sf_dir), indexed.apply, "index", temporary(spark, "offsets"))
+    return store.file_hashes()
 
 
 # Chunks
@@ -194,6 +219,11 @@ def chunk_coverage(spark, sf_dir):
     return c.groupBy("repo").agg(F.count(F.lit(1)).alias("n_chunks"), F.count_if(body == F.col("text")).alias("n_exact"))
 
 
+def closing_chunks(spark, sf_dir):
+    """Chunks of closing brackets and signs alone."""
+    return chunks(spark, sf_dir, "text").filter(C.is_closing(F.col("text"))).select("chunk_id", F.length("text").alias("n_chars"))
+
+
 def line_chunks(spark, sf_dir):
     return chunking.chunk_files(files(spark, sf_dir), mode="lines").select("file", "pos", "start_line", "end_line")
 
@@ -222,15 +252,10 @@ def line_chunk_lines(spark, sf_dir):
 
 def snapshot_update(spark, sf_dir):
     """An index of the files up to the middle of the time, brought up to all of them in a second version, then changed by the feed's deletions: what it holds of each file."""
-    import uuid
-
-    from tesserae.operators.embed import EmbeddingConfig
-    from tesserae.sources.snapshot import SnapshotStore
-
-    store = SnapshotStore(spark, f"{ensure_checkpoint_dir(spark).removeprefix('file://')}/store-{uuid.uuid4().hex}")
-    tree = cut(files(spark, sf_dir).select("rel_path", F.unix_micros(F.col("ingested_at").cast("timestamp")).alias("at"), F.encode("text", "UTF-8").alias("content"), F.lit(None).cast("string").alias("error")))
+    store = SnapshotStore(spark, temporary(spark, "store").removeprefix("file:"))
+    tree = _tree(spark, sf_dir)
     middle = tree.agg(F.floor((F.min("at") + F.max("at")) / 2)).first()[0]
-    config = EmbeddingConfig(dim=8)
+    config = embed.EmbeddingConfig(dim=8)
     index.index_tree(store, tree.filter(F.col("at") <= middle), PATTERNS, config, "one")
     index.index_tree(store, tree, PATTERNS, config, "two")
     gone = changes(spark, sf_dir).filter("status = 'D'").select(F.lit("D").alias("status"), F.concat_ws("/", "repo", "path").alias("path"), F.lit(None).cast("string").alias("new_path"))
@@ -370,7 +395,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         file_catalog, content_hash, skip_reason, secret_filter, ignore_patterns, binary_ratio, duplicate_content, stale_files, unchanged_files,
-        to_process, parse_changes, plan_reindex, apply_changes, snapshot_files, stream_reindex, whole_file_chunks, chunk_coverage, line_chunks,
+        to_process, parse_changes, plan_reindex, apply_changes, snapshot_files, parse_change_logs, stream_reindex, feed_index, whole_file_chunks, closing_chunks, chunk_coverage, line_chunks,
         ast_chunks, ast_chunk_lines, line_chunk_lines, snapshot_update, file_batches, index_report, tokens, hashed_embedding, embedding_norm, cosine_topk, batch_knn, query_terms, exact_symbol,
         exact_definition, exact_filename, exact_ranked, merged_hits, context_budget, context_text, citations, ask,
     )

@@ -57,13 +57,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder, removed when the driver's JVM ends."""
+    path = f"{ensure_checkpoint_dir(spark)}/tesserae-{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back: its lineage ends there.
 
     A table is written rather than an RDD, as columns compress. A lost executor costs nothing that
-    was written. The folder is the cluster's to clean, as with other checkpoints.
+    was written. The table goes when the driver ends.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/tesserae-{uuid.uuid4().hex}"
+    path = temporary(df.sparkSession, "cut")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

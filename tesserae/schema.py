@@ -4,12 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-FILES = T.StructType([
-    T.StructField("rel_path", T.StringType(), False),
-    T.StructField("content", T.BinaryType()),
-    T.StructField("n_bytes", T.LongType()),
-    T.StructField("error", T.StringType()),
-])
 CHUNKS = T.StructType([
     T.StructField("chunk_id", T.StringType(), False),
     T.StructField("seq", T.LongType(), False),
@@ -22,14 +16,3 @@ CHUNKS = T.StructType([
     T.StructField("vector", T.ArrayType(T.DoubleType())),
 ])
 FILE_HASHES = T.StructType([T.StructField("file", T.StringType(), False), T.StructField("file_hash", T.StringType(), False)])
-META = T.StructType([
-    T.StructField("commit_sha", T.StringType()),
-    T.StructField("embed_model", T.StringType()),
-    T.StructField("dim", T.IntegerType()),
-])
-CHANGES = T.StructType([
-    T.StructField("ord", T.IntegerType(), False),
-    T.StructField("status", T.StringType(), False),
-    T.StructField("path", T.StringType(), False),
-    T.StructField("new_path", T.StringType()),
-])

@@ -56,6 +56,30 @@ class ActionTable:
         self.last = number
 
 
+class IndexedFeed:
+    """Applies a feed to an index: each batch's paths, by what is known of them after it, are read, chunked and committed as one version.
+
+    ``read(paths)`` gives rel_path, content and error of paths, which are ``repo/path``. A batch that the
+    index already has, by the number kept with its version, is passed over.
+    """
+
+    def __init__(self, store, actions: ActionTable, read: Callable[[DataFrame], DataFrame], patterns: list[str], config):
+        self.store, self.actions, self.read, self.patterns, self.config = store, actions, read, patterns, config
+
+    def apply(self, batch: DataFrame, number: int) -> None:
+        """For ``foreachBatch``."""
+        from tesserae.operators.index import reindex
+
+        self.actions.apply(batch, number)
+        if (self.store.meta().get("feed_batch") or -1) >= number and self.store.version() is not None:
+            return
+        touched = latest_action(batch).select("repo", "path")
+        now = self.actions.rows().join(touched, ["repo", "path"], "left_semi")
+        status = F.when(F.col("action") == "delete", "D").otherwise("M")
+        changes = now.select(status.alias("status"), F.concat_ws("/", "repo", "path").alias("path"), F.lit(None).cast("string").alias("new_path"))
+        reindex(self.store, changes, self.read, self.patterns, self.config, None, None, facts={"feed_batch": number})
+
+
 def run_feed(stream: DataFrame, apply: Callable[[DataFrame, int], None], name: str, checkpoint: str | None = None) -> None:
     """Apply every pending record and stop. The offset log makes a batch that was applied be passed over."""
     folder = checkpoint or f"{ensure_checkpoint_dir(stream.sparkSession)}/feed-{name}"
