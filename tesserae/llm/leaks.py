@@ -5,12 +5,15 @@ fingerprint. Two texts that share ``window + K - 1`` words in a row share a fing
 20 words with two altered ones has six unaltered words in a row, so with K = 4 and a window of 3 no
 such passage is missed. Shared fingerprints are extended in both directions over altered words.
 
-The evaluation items are the query set: they are taken in blocks of bounded size, and every document
-is held against each block where it is read. No fingerprint of the corpus is moved.
+The evaluation items are the query set. While they fit one block of bounded size, every document is held
+against them where it is read, and no fingerprint of the corpus is moved. More items are taken in
+blocks: the fingerprints of all documents that may be among those of the items, by a filter of fixed size, are
+joined to them once, and each block sees only the documents that share a fingerprint with one of its items.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import defaultdict
@@ -18,17 +21,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm import notebooks
-from tesserae.plans.runtime import spread
+from tesserae.plans.runtime import cut, spread
 
 K, WINDOW = 4, 3
 LEAST_WORDS = 20
 ALTERED = 0.1
 #: Characters of items in a block; bounds what a task holds besides its documents.
 BLOCK_CHARS = 16 << 20
+#: Bits of the filter of item fingerprints, as a power of 2.
+FILTER_BITS = 26
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -179,6 +185,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: s
     blocks = max(1, math.ceil(size / BLOCK_CHARS))
     rows = spread(docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(doc_text).alias("text")).filter(F.length("text") > 0))
     block = F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) if blocks > 1 else F.lit(0)
+    near = _candidates(rows, query.withColumn("block", block)) if blocks > 1 else None
     found = None
     for n in range(blocks):
         index = docs.sparkSession.sparkContext.broadcast(ItemIndex([(r["id"], r["text"]) for r in query.filter(block == n).orderBy("id", "text").collect()]))
@@ -191,6 +198,58 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: s
                 columns = list(zip(*out)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.int32()] * 2)], names=["doc_id", "item_id", "first_word", "n_words", "n_altered"])
 
-        part = rows.mapInArrow(find, "doc_id bigint, item_id bigint, first_word bigint, n_words int, n_altered int")
+        some = rows if near is None else rows.join(near.filter(F.col("block") == n).select("k"), F.xxhash64("id", "text") == F.col("k"), "left_semi")
+        part = some.mapInArrow(find, "doc_id bigint, item_id bigint, first_word bigint, n_words int, n_altered int")
         found = part if found is None else found.unionByName(part)
     return found
+
+
+@functools.lru_cache(maxsize=1 << 18)
+def _word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word) >> 1
+
+
+def _fingerprints(found: list[str]) -> np.ndarray:
+    """Distinct fingerprints of a text, the same whatever other texts there are."""
+    grams = _grams(np.fromiter(map(_word_hash, found), np.int64, len(found)))
+    return np.unique(grams[winnow(grams)])
+
+
+def _slot(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word and bit of each fingerprint in the filter."""
+    bit = prints >> np.uint64(64 - FILTER_BITS)
+    return (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63))
+
+
+def _candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``k``, ``block``: documents, by the hash of id and text, that share a fingerprint with an item of a block."""
+
+    def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = [_fingerprints(words(t)) for t in batch.column("text").to_pylist()]
+            owners = np.repeat(np.arange(len(prints)), [len(p) for p in prints])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *prints]).view(np.int64)), batch.column("block").take(pa.array(owners))], names=["h", "block"])
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, bit = _slot(batch.column("h").to_numpy().view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bit.view(np.int64))], names=["at", "bit"])
+
+    prints = cut(spread(items.select("text", F.col("block").cast("int").alias("block"))).mapInArrow(of_items, "h bigint, block int").distinct())
+    table = prints.select("h").mapInArrow(bits, "at bigint, bit bigint").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    mask = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    mask[table.column("at").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(mask)
+
+    def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column("text").to_pylist():
+                own = _fingerprints(document_words(text))
+                at, bit = _slot(own)
+                found.append(own[(shared.value[at] & bit) != 0].view(np.int64))
+            owners = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(owners)), pa.array(np.concatenate([np.empty(0, np.int64), *found]))], names=["k", "h"])
+
+    asked = docs.select(F.xxhash64("id", "text").alias("k"), "text").mapInArrow(of_docs, "k bigint, h bigint")
+    return cut(asked.join(prints, "h").select("k", "block").distinct())

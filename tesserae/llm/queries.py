@@ -11,9 +11,10 @@ from tesserae.plans.runtime import table
 
 
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of the oversized chunks, each chunk once."""
-    chunks = table(spark, sf_dir, "chunks").select("chunk_id", "text").filter(F.length("text") > splitting.MAX_CHARS).dropDuplicates(["chunk_id"])
-    return splitting.split_oversized(chunks)
+    """Pieces of the oversized chunks, each chunk once, by its latest version."""
+    chunks = table(spark, sf_dir, "chunks").select("chunk_id", "text", "indexed_at").filter(F.length("text") > splitting.MAX_CHARS)
+    latest = chunks.groupBy("chunk_id").agg(F.max_by("text", F.struct("indexed_at", F.xxhash64("text"))).alias("text"))
+    return splitting.split_oversized(latest)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

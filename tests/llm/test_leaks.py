@@ -84,3 +84,29 @@ def test_blocks_of_items(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t) for i, t in ITEMS], "doc_id bigint, text string")
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     assert {(r.doc_id, r.item_id) for r in leaks(docs, items).collect()} == {(i, i) for i, _ in ITEMS}
+
+
+def test_many_items_are_joined_by_fingerprints(spark, monkeypatch):
+    """Items of several blocks give what one block gives, also for repeated rows, null ids and altered words."""
+    import random
+
+    from tesserae.llm import leaks as module
+
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(15, 60)))) for i in range(120)]
+    docs = []
+    for d in range(300):
+        body = rng.choices(vocabulary, k=80)
+        for i, text in rng.sample(items, rng.choice([0, 0, 1, 2])):
+            part = text.split()[:40]
+            if len(part) > 25:
+                part[12] = "changed"
+            body[rng.randint(0, 70) : 0] = part
+        docs.append((d if d else None, " ".join(body)))
+    docs += docs[1:4]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} bigint, text string")
+    found = lambda: sorted(tuple(-1 if x is None else x for x in r) for r in module.leaks(frame(docs, "doc_id"), frame(items, "item_id")).collect())
+    wanted = found()
+    monkeypatch.setattr(module, "BLOCK_CHARS", 6000)
+    assert len(wanted) > 100 and found() == wanted
