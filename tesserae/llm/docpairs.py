@@ -333,7 +333,7 @@ def functions(extension: str, text: str, documented: bool = False) -> Iterator[t
 
 _PY_OUTLINE = re.compile(
     r"[^#\"'()\[\]{}@\w]*+(?:(?P<c>#[^\r\n]*)|(?P<s>(?i:[rbuft]{0,3})(?:\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*+'''|\"(?!\"\")(?:[^\"\\\r\n]|\\(?:\r\n|.))*+\"|'(?!'')(?:[^'\\\r\n]|\\(?:\r\n|.))*+'))"
-    r"|(?P<d>(?:async|def)\b)|\w++(?:[^#\"'()\[\]{}@\w]++\w++(?![\"']))*+|(?P<b>[()\[\]{}])|(?P<a>@)|.)",
+    r"|(?P<d>(?:async|def)\b)|\w++(?:[^#\"'()\[\]{}@\w]++\w++(?![\"']))*+|(?P<b>[()\[\]{}])|(?P<a>@)|.|\Z)",
     re.S,
 )
 _PY_WORDS = re.compile(r"\b(?:async|def)\b")

@@ -24,6 +24,8 @@ END = "\x03"
 FOLDED = "\U000f0000"
 #: Entries of a memo after which it is dropped.
 MEMO = 200_000
+#: Tokens from which on a text is looked through for repeats of several tokens.
+LONG = 160
 
 _TOKEN = re.compile(r"'(?:[^'\\]|\\.)*'|[({\[<]:\s*\w+\s*:[)}\]>]|@[\w,]+|\w+|[|?*+()^]")
 
@@ -76,6 +78,7 @@ class Grammar:
         # Of equal items with these separators, no rule of the grammars tells four from five: none counts beyond three.
         separators = "".join(re.escape(c) for t, c in self.alphabet.chars.items() if t in (",", "+", "NL"))
         self._repeats = re.compile(rf"(.[{separators}])\1{{4,}}", re.S) if separators else None
+        self._long_repeats = re.compile(rf"(.{{1,24}}?[{separators}])\1{{4,}}", re.S) if separators else None
 
     # Compilation
 
@@ -286,8 +289,6 @@ class Grammar:
 
     def fits(self, start: int, text: str, segments) -> int:
         """As :meth:`recognise`, through the memo; a list is recognised statement by statement."""
-        if self._repeats is not None:
-            text = self._repeats.sub(r"\1\1\1\1", text)
         item = self.lists.get(start)
         if item is None:
             return self._known(start, text + END if start in self._ended else text)
@@ -301,6 +302,13 @@ class Grammar:
                 break
         return mask
 
+    def collapsed(self, text: str) -> str:
+        """A text with four of any more equal items in a row; items of several tokens, as in tables of data, are looked for in long texts."""
+        if self._repeats is None:
+            return text
+        text = self._repeats.sub(r"\1\1\1\1", text)
+        return text if len(text) < LONG else self._long_repeats.sub(r"\1\1\1\1", text)
+
     def _known(self, start: int, text: str) -> int:
         first = text[:1]
         if first >= FOLDED:
@@ -319,6 +327,7 @@ class Grammar:
 
     def fold(self, bracket: str, content: str, segments) -> str | None:
         """The symbol of a bracket pair with this content, or None if nothing that may stand there fits."""
+        content = self.collapsed(content)
         key = (bracket, content)
         found = self._memo.get(key)
         if found is None:
@@ -355,4 +364,4 @@ class Grammar:
                 here.append(c)
         if stack:
             return 0
-        return self.fits(self.names[start], "".join(here), segments)
+        return self.fits(self.names[start], self.collapsed("".join(here)), segments)

@@ -45,7 +45,7 @@ def _joined(value) -> str:
 def _from_json(text: str) -> list[Cell]:
     try:
         book = json.loads(text)
-    except ValueError:
+    except (ValueError, RecursionError):
         return _from_broken_json(text)
     if not isinstance(book, dict):
         return [Cell(MARKDOWN, text)]

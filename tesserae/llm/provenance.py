@@ -55,13 +55,12 @@ MIXED_DIRS = {"external", "deps", "contrib", "extern", "lib3p"}
 _HEADER_GENERATED = re.compile(
     r"(?i)@generated|\bauto[- ]?generated\b|generated (?:by|from|code|file|using|with)|code generated|do not (?:edit|modify)|(?:never|don't) edit|not be edited|regenerate|machine.generated|this file (?:is|was) (?:produced|created|written) by|produced by (?:the )?\w+ (?:compiler|tool|generator)|created by \w+ (?:compiler|generator)|output of \w+"
 )
-# A copyright or licence alone says nothing: the project's own files have them. A release of a named project does.
 _HEADER_VENDORED = re.compile(
     r"(?i)\bvendored\b|\bupstream(?:\s*:|\s+(?:source|version|revision|project|at|from))|third[- ]party (?:code|source|library|copy)|\btaken over\b|\b(?:imported|copied) (?:verbatim |unchanged )?from\b"
-    r"|\b[a-z@][\w.@/\-]+,? v?\d+\.\d+(?:\.\d+)+[\w\-.]*\b(?=.*(?:licen[cs]ed? |copyright|released under|\(c\)|https?://))"
-    r"|(?:licen[cs]ed? |copyright|released under|\(c\)|https?://)(?=.*\b[a-z@][\w.@/\-]+,? v?\d+\.\d+(?:\.\d+)+)",
-    re.S,
 )
+# A copyright or licence alone says nothing: the project's own files have them. With a release of a named project it does.
+_RELEASE = re.compile(r"(?i)(?<![\w.@/\-])[a-z@][\w.@/\-]*+,? v?\d+\.\d+(?:\.\d+)+")
+_RIGHTS = re.compile(r"(?i)licen[cs]ed? |copyright|released under|\(c\)|https?://")
 _COMMENT = re.compile(r"\s*(?:/\*.*?\*/|(?://|#(?!include|define|if|pragma|!\[|\[)|--)[^\n]*\n?|\"\"\".*?\"\"\"|'''.*?''')", re.S)
 _MIN_NAME = re.compile(r"(?i)[.\-_](?:min|bundle|packed|prod)\.(?:js|mjs|cjs|css)$")
 _GEN_NAME = re.compile(r"(?i)(?:\.pb\.(?:go|cc|h)|_pb2(?:_grpc)?\.py|_pb\.(?:js|ts|d\.ts)|_grpc\w*\.\w+|OuterClass\.java|\.g(?:en(?:erated)?)?\.(?:ts|js|go|dart|cs|java|rs|py)|\.tab\.[ch]|\.designer\.cs|_generated\.\w+)$")
@@ -102,7 +101,7 @@ def giveaway(name: str | None, text: str) -> str | None:
     head = text[: leading_comments(text)]
     if _HEADER_GENERATED.search(head) or _GEN_NAME.search(parts[-1]):
         return GENERATED
-    if _HEADER_VENDORED.search(head):
+    if _HEADER_VENDORED.search(head) or _RELEASE.search(head) and _RIGHTS.search(head):
         return VENDORED
     lines = [line for line in text.split("\n") if line.strip()]
     if extension(name) in ("js", "mjs", "cjs", "css", "ts") and (_MIN_NAME.search(parts[-1]) or (len(text) > 400 and len(text) / max(1, len(lines)) > 250)) and text.count(" ") < 0.12 * len(text):

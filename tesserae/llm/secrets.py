@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -90,6 +91,7 @@ _CALL = re.compile(r"(?<![\w.:])(?P<name>[A-Za-z_][\w.:]*+)\s?\((?P<args>[^()]{4
 _CALL_NAMES = re.compile(r"(?i)(?:^|[._:])\w*?(?:connect|log_?in|sign(?:_?with|_?in)?|auth\w*|open_?pool|set_?header|password|credential|token|unlock|decrypt|session|pool|api_?key|set_?secret)\w*$")
 _ARGUMENT = re.compile(r"(?P<q>[\"'`])(?P<value>(?:(?!(?P=q))[^\\\r\n]|\\.)+)(?P=q)")
 _LITERAL_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_\-.])(?P<value>[A-Za-z0-9_][A-Za-z0-9_\-.+/]{%d,}+=*)" % (LONG - 1))
+_REST_OF_LINE = re.compile(r"[^\n\r]*")
 _REST_OF_WORD = re.compile(r"[^\s'\"`=(]*+")
 _DIGIT = re.compile(r"\d")
 _LETTERS = re.compile(r"[a-z]{16,}|[A-Z]?[a-z]+(?:[A-Z][a-z]+){2,}")
@@ -174,7 +176,7 @@ def _benign_context(text: str, start: int, end: int) -> bool:
 def _in_prose(text: str, at: int) -> bool:
     """Whether a place lies in a comment or a line of prose, not in code."""
     line = text[max(text.rfind("\n", 0, at), text.rfind("\r", 0, at)) + 1 : at]
-    rest = re.match(r"[^\n\r]*", text[at:])[0]
+    rest = _REST_OF_LINE.match(text, at)[0]
     return re.search(r"//|#|/\*|--|^\s*[;*%]|<!--", line) is not None or re.search(r"[={}()\[\];\"]", line + rest) is None and len((line + rest).split()) > 4
 
 
@@ -351,7 +353,7 @@ def scan(df: DataFrame, id_col: str, text_col: str, paths: bool = False) -> Data
                 clean = redact(text, found)
                 ends = [m.end() for m in _LINE_END.finditer(text)]
                 for f in found:
-                    no = sum(e <= f.start for e in ends)
+                    no = bisect_right(ends, f.start)
                     a, b = ends[no - 1] if no else 0, ends[no] if no < len(ends) else len(text)
                     rows.append((key, no + 1, f.start, f.end, f.kind, clean[a:b].rstrip("\r\n")))
             columns = list(zip(*rows)) or [()] * 6

@@ -110,3 +110,7 @@ def test_many_items_are_joined_by_fingerprints(spark, monkeypatch):
     wanted = found()
     monkeypatch.setattr(module, "BLOCK_CHARS", 6000)
     assert len(wanted) > 100 and found() == wanted
+
+
+def test_deep_json_is_read():
+    assert "inner" in document_words('{"cells": [{"cell_type": "markdown", "source": ["inner words"]}], "deep": ' + '{"a":' * 50_000)
