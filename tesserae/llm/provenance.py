@@ -13,7 +13,6 @@ repository, and gives the border from which a score counts.
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -265,7 +264,7 @@ def _key():
 
 def shingles(text: str) -> np.ndarray:
     """Sorted distinct hashes of the five-word shingles of a text without its leading comments."""
-    words = np.fromiter(map(hash_word, _WORD.findall(masked_text(text))), np.uint64)
+    words = np.array([*map(_HASHES.__getitem__, _WORD.findall(text, leading_comments(text)))], np.uint64)
     n = len(words) - 4
     if n <= 0:
         return np.empty(0, np.int64)
@@ -279,9 +278,17 @@ def shingles(text: str) -> np.ndarray:
 _WORD = re.compile(r"\w+|[^\w\s]")
 
 
-@functools.lru_cache(maxsize=1 << 16)
-def hash_word(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "replace"))
+class _Hashes(dict):
+    """Hashes of words, kept up to a number of them."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 17:
+            self.clear()
+        self[word] = made = zlib.crc32(word.encode("utf-8", "replace"))
+        return made
+
+
+_HASHES = _Hashes()
 
 
 def _facts(rows: DataFrame) -> DataFrame:
