@@ -308,13 +308,35 @@ def _asked(spark, sf_dir) -> DataFrame:
     return q.join(embed.hashed_vectors(q, "question_id", "question", DIM), "question_id")
 
 
+def _alike(spark, sf_dir) -> DataFrame:
+    """``question_id``, ``first_id``: every question, with the smallest id of those in the same words."""
+    said = questions(spark, sf_dir).groupBy("question_id").agg(F.array_sort(F.collect_set("question")).alias("said"))
+    return cut(said.select("question_id", F.min("question_id").over(Window.partitionBy("said")).alias("first_id")))
+
+
+def _firsts(spark, sf_dir, alike: DataFrame) -> DataFrame:
+    """``question_id``, ``question``: one question for those in the same words."""
+    return questions(spark, sf_dir).join(alike.filter("question_id = first_id").select("question_id"), "question_id", "left_semi")
+
+
+def _for_all(found: DataFrame, alike: DataFrame) -> DataFrame:
+    """What was found for the first of the questions in the same words, for each of them."""
+    return alike.join(found.withColumnRenamed("question_id", "first_id"), "first_id").drop("first_id")
+
+
+def _knn(spark, sf_dir, firsts: DataFrame) -> DataFrame:
+    asked = embed.hashed_vectors(firsts, "question_id", "question", DIM)
+    return retrieve.nearest(asked, _vectors(spark, sf_dir), TOP_K, "question_id", "chunk_id", digits=6)
+
+
 def _vectors(spark, sf_dir) -> DataFrame:
     return chunks(spark, sf_dir, "vector").filter(F.size("vector") == DIM)
 
 
 def batch_knn(spark, sf_dir):
-    """The eight nearest chunks of every question, all questions in one plan."""
-    return retrieve.nearest(_asked(spark, sf_dir), _vectors(spark, sf_dir), TOP_K, "question_id", "chunk_id", digits=6)
+    """The eight nearest chunks of every question, all questions in one plan; those in the same words are searched for once."""
+    alike = _alike(spark, sf_dir)
+    return _for_all(_knn(spark, sf_dir, _firsts(spark, sf_dir, alike)), alike)
 
 
 # Retrieval
