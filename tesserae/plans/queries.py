@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from tesserae.functions import columns as C
 from tesserae.operators import answer, chunking, embed, index, retrieve, rules
-from tesserae.plans.runtime import cut, table, temporary
+from tesserae.plans.runtime import broadcast_within, cut, table, temporary
 from tesserae.sources import changes as change_log
 from tesserae.sources.snapshot import SnapshotStore
 from tesserae.streaming import feed
@@ -381,36 +381,52 @@ def exact_ranked(spark, sf_dir):
     return _exact_scored(spark, sf_dir).withColumn("rank", F.row_number().over(window)).select("question_id", "chunk_id", "match", "rank")
 
 
+def _merged(spark, sf_dir, firsts: DataFrame) -> DataFrame:
+    asked = embed.hashed_vectors(firsts, "question_id", "question", DIM)
+    exact = retrieve.best_exact(retrieve.query_terms(firsts), asked, chunks(spark, sf_dir, "file", "start_line", "symbol", "text", "vector"), TOP_K)
+    return retrieve.merge_results(exact, _knn(spark, sf_dir, firsts), TOP_K)
+
+
 def merged_hits(spark, sf_dir):
     """The first eight hits of each question: exact ones, then the nearest chunks."""
-    return retrieve.merge_results(_exact_scored(spark, sf_dir), batch_knn(spark, sf_dir), TOP_K)
+    alike = _alike(spark, sf_dir)
+    return _for_all(_merged(spark, sf_dir, _firsts(spark, sf_dir, alike)), alike)
 
 
-def _kept(spark, sf_dir) -> DataFrame:
-    merged = cut(merged_hits(spark, sf_dir))
-    hits = merged.join(chunks(spark, sf_dir, "file", "start_line", "end_line", "symbol", "language", "text"), "chunk_id")
+def _kept(spark, sf_dir, alike: DataFrame) -> DataFrame:
+    """What fits the context of the first of the questions in the same words."""
+    merged = cut(_merged(spark, sf_dir, _firsts(spark, sf_dir, alike)))
+    found = chunks(spark, sf_dir, "file", "start_line", "end_line", "symbol", "language", "text")
+    hits = found.join(broadcast_within(merged, merged.count(), 64), "chunk_id")  # else the texts of all chunks are exchanged
     return answer.context_budget(hits, MAX_CHARS)
 
 
 def context_budget(spark, sf_dir):
-    return _kept(spark, sf_dir).select("question_id", "rank", "chunk_id", F.length("text").cast("bigint").alias("n_chars"))
+    alike = _alike(spark, sf_dir)
+    kept = _kept(spark, sf_dir, alike).select("question_id", "rank", "chunk_id", F.length("text").cast("bigint").alias("n_chars"))
+    return _for_all(kept, alike)
 
 
 def context_text(spark, sf_dir):
-    return answer.context_text(_kept(spark, sf_dir)).select("question_id", F.length("context").cast("bigint").alias("n_chars"), F.sha2("context", 256).alias("sha256"))
+    alike = _alike(spark, sf_dir)
+    context = answer.context_text(_kept(spark, sf_dir, alike)).select("question_id", F.length("context").cast("bigint").alias("n_chars"), F.sha2("context", 256).alias("sha256"))
+    return _for_all(context, alike)
 
 
 def citations(spark, sf_dir):
-    return answer.citations(_kept(spark, sf_dir))
+    alike = _alike(spark, sf_dir)
+    return _for_all(answer.citations(_kept(spark, sf_dir, alike)), alike)
 
 
 def ask(spark, sf_dir):
     """Every question with its context's size and its sources, answered by the stub client's rule."""
-    kept = cut(_kept(spark, sf_dir).select("question_id", "rank", "header", "text", "file", "start_line", "end_line"))
+    alike = _alike(spark, sf_dir)
+    kept = cut(_kept(spark, sf_dir, alike).select("question_id", "rank", "header", "text", "file", "start_line", "end_line"))
     context = answer.context_text(kept)
     first = F.concat(F.lit("The index holds this on the question: "), F.substring_index("context", "\n", 1))
     said = context.select("question_id", first.alias("answer"), F.length("context").cast("bigint").alias("context_chars"))
-    return questions(spark, sf_dir).join(said, "question_id", "left").join(answer.citations(kept), "question_id", "left").select("question_id", F.coalesce("answer", F.lit(answer.NOTHING_FOUND)).alias("answer"), "context_chars", "citations")
+    found = _for_all(said.join(answer.citations(kept), "question_id"), alike)
+    return questions(spark, sf_dir).select("question_id").join(found, "question_id", "left").select("question_id", F.coalesce("answer", F.lit(answer.NOTHING_FOUND)).alias("answer"), "context_chars", "citations")
 
 
 QUERIES = {
